@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality, suffix_tree_lm
 from .common import crc_mod, read
 from .decontam import annotate
 from .licenses import scan_licenses
@@ -24,6 +25,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model, more=(held.alias("held_out"),)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = quality.fit(docs, labels.where(~held))
+    scored = quality.score(docs, model, more=(held.alias("held_out"),))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = annotate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["stop"] - x["start"])
@@ -54,9 +70,18 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    scored = suffix_tree_lm.score(read(spark, sf_dir, "documents"), ~held, more=(held.alias("held_out"),))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
+    "op4_quality": op4_quality,
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
+    "op9_lm_score": op9_lm_score,
 }
 ORACLE_SQL: dict[str, str] = {}
