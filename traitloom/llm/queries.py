@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, suffix_tree_lm
+from . import ann, chat, langid, quality, suffix_tree_lm
 from .common import crc_mod, read
 from .decontam import annotate
 from .licenses import scan_licenses
@@ -40,6 +40,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = annotate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["stop"] - x["start"])
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
     "op4_quality": op4_quality,
+    "op5_ann": op5_ann,
+    "op6_chat": op6_chat,
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
     "op9_lm_score": op9_lm_score,
