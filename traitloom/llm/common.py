@@ -79,3 +79,37 @@ def space_words(text: bytes) -> list[bytes]:
 def doc_view(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """The columns that a kernel reads, under fixed names: id, text as UTF-8 bytes, and any more."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
+
+
+def written(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared checkpoint folder (smaller there than checkpoint())."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def united(spans: str) -> Column:
+    """Maximal ranges of an array of (start, stop) that may overlap or touch, ascending."""
+    last = lambda acc: F.element_at(acc, -1)
+    return F.aggregate(
+        F.array_sort(spans),
+        F.expr(f"cast(array() as {SPANS})"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["stop"]),
+            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop")))),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
+
+
+def joined_texts(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes], bytes, np.ndarray]]:
+    """(rows, texts, all texts in one buffer, their starts and the end) of bounded slices."""
+    for batch in batches:
+        for b in chunks(batch, text, limit):
+            texts = [x or b"" for x in b.column(text).to_pylist()]
+            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+            yield b, texts, b"".join(texts), starts

@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, chunks, doc_view
+from .common import SPANS, alnum_words, chunks, doc_view, united
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-SPAN = "array<struct<start:bigint,stop:bigint>>"
 
 
 class WindowSet:
@@ -135,7 +134,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str
                         ["doc_id", "n_words", "spans", "items"],
                     )
 
-        parts.append(view.mapInArrow(scan, f"doc_id {id_type}, n_words bigint, spans {SPAN}, items array<string>"))
+        parts.append(view.mapInArrow(scan, f"doc_id {id_type}, n_words bigint, spans {SPANS}, items array<string>"))
     if len(parts) == 1:
         return parts[0]
     return merged(parts, view, id_type)
@@ -143,24 +142,14 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str
 
 def merged(parts: list[DataFrame], view: DataFrame, id_type: str) -> DataFrame:
     """Joins the partial hits of item blocks: only documents with hits are shuffled whole."""
-    key = F.xxhash64("doc_id")
     whole = parts[0].select("doc_id", "n_words")
     found = parts[0].where("size(items) > 0")
     for p in parts[1:]:
         found = found.unionByName(p.where("size(items) > 0"))
     found = found.distinct().groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    united = F.aggregate(
-        F.array_sort("s"),
-        F.expr(f"cast(array() as {SPAN})"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["stop"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    found = found.select(F.col("doc_id").alias("k"), united.alias("spans"), "items")
-    del key
+    found = found.select(F.col("doc_id").alias("k"), united("s").alias("spans"), "items")
     return whole.join(found, F.col("doc_id").eqNullSafe(F.col("k")), "left").select(
-        "doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
+        "doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )
 
 

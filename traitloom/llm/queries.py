@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, quality, suffix_tree_lm
+from . import ann, chat, langid, quality, suffix_dedup, suffix_tree_lm
 from .common import crc_mod, read
 from .decontam import annotate
 from .licenses import scan_licenses
@@ -84,6 +84,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans__", F.lit(0).cast("bigint"), lambda acc, x: acc + x["stop"] - x["start"])
+    return done.select("doc_id", F.octet_length("text__").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans__").cast("bigint").alias("n_spans"), F.sha2("kept__", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -93,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
     "op9_lm_score": op9_lm_score,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
