@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, quality, suffix_dedup, suffix_tree_lm
+from . import ann, chat, langid, near_dup, quality, suffix_dedup, suffix_tree_lm
 from .common import crc_mod, read
 from .decontam import annotate
 from .licenses import scan_licenses
@@ -32,6 +32,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, more=(held.alias("held_out"),)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_dup.link(read(spark, sf_dir, "documents"), words=2, least=0.8)
+    return linked.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
@@ -93,6 +98,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
+    "op3_near_dup": op3_near_dup,
     "op4_quality": op4_quality,
     "op5_ann": op5_ann,
     "op6_chat": op6_chat,

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchor_runs
@@ -200,10 +200,20 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     return whole, partly.select("digest", united("s").alias("spans")).unionByName(copied.select("digest", F.array("span").alias("spans")))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
+def inward(spans: str) -> Column:
+    """Ranges that cut no UTF-8 character: a character partly inside stays whole outside."""
+    inside = lambda at: F.hex(F.substring("text__", at.cast("int") + 1, F.lit(1))).between("80", "BF")
+    ahead = lambda at: at + F.when(~inside(at), 0).when(~inside(at + 1), 1).when(~inside(at + 2), 2).otherwise(3)
+    back = lambda at: at - F.when(~inside(at), 0).when(~inside(at - 1), 1).when(~inside(at - 2), 2).otherwise(3)
+    return F.transform(spans, lambda x: F.struct(ahead(x["start"]).alias("start"), back(x["stop"]).alias("stop")))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, whole_characters: bool = False) -> DataFrame:
     """The documents with all their columns, and: spans__ (removed byte ranges), kept__ (what is left, as bytes)."""
     whole, spans = find(docs, id_col=id_col, text_col=text_col, size=size)
     out = whole.join(spans.withColumnRenamed("digest", "digest__").withColumnRenamed("spans", "spans__"), "digest__", "left")
+    if whole_characters:
+        out = out.withColumn("spans__", inward("spans__"))
     none = F.expr(f"cast(array() as {SPANS})")
     ends = F.array_append(F.transform("spans__", lambda x: x["start"]), F.octet_length("text__").cast("bigint"))
     begins = F.array_prepend(F.transform("spans__", lambda x: x["stop"]), F.lit(0).cast("bigint"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import doc_view, materialise, slices
 from .hashing import word_hashes
 
-DEPTH = 4
+DEPTH = 5
 BITS = 6
 END, SPACE_SYMBOL = 0, 1
 
@@ -76,7 +76,7 @@ def stream(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def grams(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The code of context and next symbol at each position that counts; the next symbol has the lowest bits."""
-    s = symbols.astype(np.int32)
+    s = symbols.astype(np.int64)
     code = s[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
         code |= s[DEPTH - k : len(s) - k] << (BITS * k)
@@ -131,7 +131,7 @@ def count_block(parts_log2: int):
             symbols, _, counts = stream([t.lower().split() for t, use in zip(texts, trains[i:j], strict=True) if use])
             if len(symbols):
                 k, c = np.unique(grams(symbols, counts), return_counts=True)
-                codes.append(k.astype(np.int64))
+                codes.append(k)
                 weights.append(c)
         rows = []
         edges = np.searchsorted(known, (np.arange(1, 1 << parts_log2, dtype=np.uint64) << np.uint64(64 - parts_log2)) if parts_log2 else np.zeros(0, np.uint64))
@@ -259,7 +259,7 @@ def grow(sums: DataFrame, *, least_count: int, least_gain: float, max_states: in
     return SuffixTree({r.x: r.n for r in levels[0].collect()}, contexts)
 
 
-def score(docs: DataFrame, trains: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, least_count: int = 16, least_gain: float = 30.0, max_states: int = 20_000, more: tuple[Column, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, trains: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, least_count: int = 8, least_gain: float = 12.0, max_states: int = 40_000, more: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, any more columns asked for, n_tokens, n_known, train_tokens, base_score and score of each document."""
     view = doc_view(docs, id_col, text_col, F.coalesce(trains, F.lit(False)).alias("trains"), *more)
     kept = [c for c in view.columns if c not in ("text", "trains")]
