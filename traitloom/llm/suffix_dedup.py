@@ -170,7 +170,7 @@ def sort_contexts(batches, size: int, limit: int = 1 << 20):
         yield from flush()
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, group_contexts: int = 1000) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, group_contexts: int = 6000) -> tuple[DataFrame, DataFrame]:
     """(documents with their columns, `text__` as bytes and `digest__`; spans per digest: digest, spans).  A text without a row in spans is kept."""
     if size < GRAM + 8:
         raise ValueError(f"size must be at least {GRAM + 8}")
