@@ -4,15 +4,20 @@ Each document's set of distinct word shingles is hashed once.  Documents with
 the same set form a class; all else is done per class.
 
 * Candidates: inverted lists of retained values.  Values are retained in one
-  order for all documents, frequent shingles last and otherwise by hash, so a
+  order for all documents, rarer shingles first and by hash within a level, so a
   passage in many documents does not fill the lists.  Two sets whose similarity
   is at least `least` share a value among the first n - ceil(least * n) + 1 of
   each (surely), and among the first k of each with a chance of missing one of
-  at most 1e-9; k follows from the share of frequent shingles in the set.
-* First every class is compared with the least class of each of its lists,
-  which joins large groups of copies without their pairs.  Then only lists that
-  still hold several components give pairs, across components.
-* Pairs are filtered by set size and by the union sketch: of the `sketch` least
+  at most 1e-9; k follows from the set's levels.
+* First every class is compared with the most central class of each of its lists
+  (by the sizes of all lists it is in), which joins large groups of copies
+  without their pairs.  Further rounds compare
+  the lists that still hold several components with other classes, until a round
+  gives under `few_links` links (or `rounds` are over).  Then what lists still hold
+  several components give all pairs across components, so rounds only save work.
+* Pairs are filtered at their shared value by set sizes, by what can still be
+  shared from there on, and by one bit of the least hash in each of 64 bins; then
+  by the union sketch: of the `sketch` least
   plain hashes of both sets together, the number found in both estimates the
   similarity; the bound keeps a true pair but for a chance below 1e-9.
 * Exact similarity on the full sets of words confirms each link, and components
@@ -31,13 +36,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, doc_view, space_words, written
 from .components import connected
 from .hashing import mix, word_hashes
 
+#: Rows (an id and a class of 20 bytes each) up to which a table is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 #: ln of the chance that a true pair is missed.
 MISS = math.log(1e-9)
 
@@ -70,24 +77,48 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.array(parts, np.uint64).tobytes() + len(hashes).to_bytes(4, "little")
 
 
-def retained(hashes: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
-    """The values of a set (sorted) that go into the inverted lists."""
+def retained(hashes: np.ndarray, frequent: np.ndarray, level: np.ndarray, least: float) -> np.ndarray:
+    """The values of a set (sorted by hash) that go into the inverted lists, rarer levels first and then by hash."""
     n = len(hashes)
     exact = n - math.ceil(least * n - 1e-9) + 1
-    if len(frequent):
+    own = np.zeros(n, np.int64)
+    if len(frequent) and n:
         place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hot = frequent[place] == hashes
-    else:
-        hot = np.zeros(n, bool)
-    rare = hashes[~hot]
-    # at most (1 / least - 1) * n values of the union are not shared, so this share of the rare ones at most
-    unshared = (1 / least - 1) * n / max(len(rare), 1e-9)
-    k = exact if unshared >= 0.9 else min(exact, math.ceil(MISS / math.log(unshared)))
-    return np.concatenate((rare, hashes[hot]))[:k]
-
-
-def frequent_shingles(view: DataFrame, words: int, local: int, total: int, limit: int) -> np.ndarray:
-    """Hashes of shingles in at least `total` documents, as counted where a task has `local` of them; any set gives right results."""
+        own = np.where(frequent[place] == hashes, level[place], 0)
+    order = np.argsort(own, kind="stable")
+    # At most (1 / least - 1) * n values of a linked union are not shared.  If none of the rarer levels is, the rest of
+    # those values lie among the others, in random order within a level.
+    k, before, spare = exact, 0, (1 / least - 1) * n
+    for size in np.bincount(own)[: 64 if n else 0].tolist():
+        if size and before < exact:
+            share = max(spare - before, 1e-9) / size
+            if share < 0.9 and (more := math.ceil(MISS / math.log(share))) <= size:
+                k = min(k, before + more)
+        before += size
+    return hashes[order][:k]
+
+
+def bins(hashes: np.ndarray) -> int:
+    """A bit for each of 64 bins of the plain hash: that of the least value in it, 0 where empty."""
+    if not len(hashes):
+        return 0
+    h = np.sort(mix(hashes))
+    top, first = np.unique(h >> np.uint64(58), return_index=True)
+    bits = (h[first] >> np.uint64(3)) & np.uint64(1)
+    return int(np.bitwise_or.reduce(bits << top).view(np.int64))
+
+
+#: Differing bits that a pair of similarity 0.8 exceeds with a chance below 1e-9 (each differs with at most half the chance of a foreign least value).
+def most_differing(least: float) -> int:
+    p, total, k = (1 - least) / 2, 0.0, 65
+    while k and total < 1e-9:
+        k -= 1
+        total += math.comb(64, k) * p**k * (1 - p) ** (64 - k)
+    return k
+
+
+def frequent_shingles(view: DataFrame, words: int, local: int, total: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and levels of shingles in at least `total` documents, as counted where a task has `local` of them; any set gives right results."""
 
     def run(batches):
         kept, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -107,12 +138,15 @@ def frequent_shingles(view: DataFrame, words: int, local: int, total: int, limit
         yield pa.RecordBatch.from_arrays([pa.array(kept[many].view(np.int64)), pa.array(count[many])], ["h", "n"])
 
     found = view.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= total)
-    # the most frequent `limit` of them: 8 bytes each
-    table = found.orderBy(F.desc("n"), "h").limit(limit).select("h").toArrow()
-    return np.sort(table.column("h").to_numpy().view(np.uint64))
+    # the most frequent `limit` of them: 16 bytes each
+    table = found.orderBy(F.desc("n"), "h").limit(limit).toArrow()
+    hashes = table.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    levels = 1 + np.floor(2 * np.log2(np.maximum(table.column("n").to_numpy(), 1))).astype(np.int64)
+    return hashes[order], np.minimum(levels[order], 63)
 
 
-def sketched(view: DataFrame, id_type: str, words: int, least: float, sketch: int, frequent: np.ndarray) -> DataFrame:
+def sketched(view: DataFrame, id_type: str, words: int, least: float, sketch: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     shared = view.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -124,13 +158,14 @@ def sketched(view: DataFrame, id_type: str, words: int, least: float, sketch: in
                         b.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s) for s in sets], pa.binary()),
-                        pa.array([retained(s, shared.value, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([retained(s, *shared.value, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
                         pa.array([np.sort(mix(s))[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([bins(s) for s in sets], pa.int64()),
                     ],
-                    ["doc_id", "n", "cls", "keys", "sketch"],
+                    ["doc_id", "n", "cls", "keys", "sketch", "bins"],
                 )
 
-    return view.mapInArrow(run, f"doc_id {id_type}, n bigint, cls binary, keys array<bigint>, sketch array<bigint>")
+    return view.mapInArrow(run, f"doc_id {id_type}, n bigint, cls binary, keys array<bigint>, sketch array<bigint>, bins bigint")
 
 
 def shingles(text: bytes, words: int) -> set:
@@ -140,8 +175,9 @@ def shingles(text: bytes, words: int) -> set:
 
 def confirmed(pairs: DataFrame, view: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is at least `least`."""
-    need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls").join(classes.select("cls", "rep"), "cls")
-    texts = view.join(need, F.col("doc_id").eqNullSafe(F.col("rep")))
+    need = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls").join(classes.select("cls", "rep"), "cls"))
+    few = need.count() <= BROADCAST_ROWS
+    texts = view.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def own(batches):
         """An id may be repeated: the text must be the class's own, once a task."""
@@ -184,37 +220,70 @@ def plausible(pairs: DataFrame, classes: DataFrame, least: float, sketch: int) -
     return both.where(shared >= bound).select("a", "b")
 
 
-def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000) -> DataFrame:
+def tried(pairs: DataFrame, links: DataFrame | None, roots: DataFrame | None, examined: DataFrame | None, view: DataFrame, classes: DataFrame, words: int, least: float, sketch: int):
+    """All links, their components, all pairs examined, and the number of new links, after some more pairs."""
+    new_pairs = pairs if examined is None else pairs.join(examined, ["a", "b"], "left_anti")
+    likely = written(plausible(new_pairs, classes, least, sketch))
+    found = written(confirmed(likely, view, classes, words, least))
+    n = found.count()
+    examined = likely if examined is None else examined.unionByName(likely)
+    links = found if links is None else links.unionByName(found)
+    return links, connected(links) if n or roots is None else roots, examined, n
+
+
+def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """List rows under their new roots, of values that stand in several components."""
+    now = written(rows.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    several = now.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return written(now.join(several.select("v"), "v", "left_semi"))
+
+
+def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 8, few_links: int = 200) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of its component) and cls of every document."""
     view = doc_view(docs, id_col, text_col)
     id_type = view.schema["doc_id"].dataType.simpleString()
     frequent = frequent_shingles(view, words, frequent_local, frequent_total, frequent_limit)
     each = written(sketched(view, id_type, words, least, sketch, frequent))
-    classes = written(each.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    lists = classes.select(F.explode("keys").alias("v"), "cls", "n")
-    close = lambda a, b: (F.col(a) >= F.lit(least) * F.col(b) - 1e-9) & (F.col(b) >= F.lit(least) * F.col(a) - 1e-9)
-
-    hubs = lists.groupBy("v").agg(F.min(F.struct("cls", "n")).alias("hub"), F.max("cls").alias("top")).where("hub.cls <> top")
-    spokes = lists.join(hubs, "v").where((F.col("cls") != F.col("hub.cls")) & close("n", "hub.n"))
-    first = written(plausible(spokes.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), classes, least, sketch))
-    links = written(confirmed(first, view, classes, words, least))
-    roots = connected(links)
-
-    at = lists.join(hubs.select("v"), "v", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    at = written(at)
-    open_lists = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    mixed = at.join(open_lists, "v", "left_semi")
-    x, y = (mixed.select("v", *[F.col(c).alias(c + s) for c in ("cls", "n", "root")]) for s in "xy")
-    across = x.join(y, "v").where((F.col("clsx") < F.col("clsy")) & (F.col("rootx") != F.col("rooty")) & close("nx", "ny")).select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).distinct()
-    second = written(plausible(across.join(first, ["a", "b"], "left_anti"), classes, least, sketch))
-    more = written(confirmed(second, view, classes, words, least))
-    if more.limit(1).count():
-        roots = connected(links.unionByName(more))
+    classes = written(each.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch", "bins")]))
+    lists = classes.select(F.posexplode("keys").alias("at", "v"), "cls", "n", "bins")
+    most = most_differing(least)
+
+    def close(x: str, y: str) -> Column:
+        """What a linked pair meets at its first common value: sizes, what can still be shared from there on, and bins."""
+        n, m = F.col(f"n{x}"), F.col(f"n{y}")
+        room = F.least(n - F.col(f"at{x}"), m - F.col(f"at{y}"))
+        return (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (room >= (n + m) * (least / (1 + least)) - 1e-9) & (F.bit_count(F.col(f"bins{x}").bitwiseXOR(F.col(f"bins{y}"))) <= most)
+
+    def named(t: DataFrame, end: str, *columns: str) -> DataFrame:
+        return t.select("v", *[F.col(c).alias(c + end) for c in columns])
+
+    facts = ("cls", "n", "at", "bins")
+    ordered = (F.least("clsx", "clsy").alias("a"), F.greatest("clsx", "clsy").alias("b"))
+    counts = lists.groupBy("v").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
+    in_lists = written(lists.join(counts.select("v", "held"), "v"))
+    # a class whose values are also many others' stands in the middle of its group: edits make values rare
+    middle = in_lists.groupBy("cls").agg(F.sum("held").alias("degree"))
+    open_rows = written(in_lists.drop("held").join(middle, "cls").withColumn("root", F.col("cls")))
+    examined = links = roots = None
+    for k in range(rounds):
+        # every class against one class of each of its lists: the most central, then others by another order each time
+        key = F.struct(-F.col("degree"), "cls") if not k else F.struct(F.xxhash64("cls", F.lit(k)), "cls")
+        hubs = open_rows.groupBy("v").agg(F.min_by(F.struct(*facts, "root"), key).alias("hub"))
+        spokes = named(open_rows, "y", *facts, "root").join(hubs.select("v", *[F.col(f"hub.{c}").alias(c + "x") for c in (*facts, "root")]), "v").where((F.col("rootx") != F.col("rooty")) & close("x", "y"))
+        links, roots, examined, new = tried(spokes.select(*ordered).distinct(), links, roots, examined, view, classes, words, least, sketch)
+        if new:
+            open_rows = still_open(open_rows, roots)
+        if new < few_links:
+            break
+    # what is left: lists that hold several components, across components
+    x, y = (named(open_rows, s, *facts, "root") for s in "xy")
+    across = x.join(y, "v").where((F.col("clsx") < F.col("clsy")) & (F.col("rootx") != F.col("rooty")) & close("x", "y")).select(*ordered).distinct()
+    links, roots, examined, new = tried(across, links, roots, examined, view, classes, words, least, sketch)
 
     group = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least_id = group.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = group.join(least_id, "root").select("cls", "component_id")
-    return each.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    labelled = group.join(least_id, "root").select("cls", "component_id")
+    return each.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
 
 
 def deduplicate(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
