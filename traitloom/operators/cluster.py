@@ -10,8 +10,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Feature = F.col("features")
-
 
 def long_form(df: DataFrame, *keys: str) -> DataFrame:
     """One row a component: keys, dim, value."""
@@ -76,14 +74,14 @@ def group_means(df: DataFrame, group: str, least: int = 1) -> DataFrame:
 
 def exemplars(df: DataFrame, group: str, key: str) -> DataFrame:
     """The row nearest to its group's mean; ties go to the least key."""
-    each = df.join(group_means(df, group), group).withColumn("d", squared_distance(Feature, F.col("center")))
+    each = df.join(group_means(df, group), group).withColumn("d", squared_distance(F.col("features"), F.col("center")))
     best = each.groupBy(group).agg(F.min(F.struct("d", key)).alias("m"))
     return best.select(group, F.col(f"m.{key}").alias(key), F.sqrt("m.d").alias("distance"))
 
 
 def nearest_to_mean(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """The n rows nearest to their group's mean, ranked."""
-    each = df.join(group_means(df, group), group).withColumn("d", squared_distance(Feature, F.col("center")))
+    each = df.join(group_means(df, group), group).withColumn("d", squared_distance(F.col("features"), F.col("center")))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("d", key)))
     return ranked.where(F.col("rank") <= n).select(group, key, "rank")
 
@@ -133,7 +131,7 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
 def davies_bouldin(df: DataFrame) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / distance of centres.  Pairs are of clusters, not of rows."""
     m = group_means(df, "label")
-    spread = df.join(m, "label").groupBy("label").agg(F.avg(F.sqrt(squared_distance(Feature, F.col("center")))).alias("s"))
+    spread = df.join(m, "label").groupBy("label").agg(F.avg(F.sqrt(squared_distance(F.col("features"), F.col("center")))).alias("s"))
     c = m.join(spread, "label").select("label", "center", "s")
     a, b = (c.select(*[F.col(x).alias(x + p) for x in c.columns]) for p in "ab")
     r = a.join(b, F.col("labela") != F.col("labelb")).withColumn("r", F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(squared_distance(F.col("centera"), F.col("centerb")))))
@@ -275,7 +273,7 @@ def softmax_choice(images: DataFrame, texts: DataFrame, scale: float = 100.0) ->
     n = texts.count()
     if n > 10_000:
         raise ValueError(f"{n} candidate texts are too many to broadcast")
-    both = images.select("img_id", Feature.alias("a")).join(F.broadcast(texts.select("text", Feature.alias("b"))))
+    both = images.select("img_id", F.col("features").alias("a")).join(F.broadcast(texts.select("text", F.col("features").alias("b"))))
     logits = both.select("img_id", "text", (dot(F.col("a"), F.col("b")) / (norm(F.col("a")) * norm(F.col("b"))) * scale).alias("z"))
     top = logits.groupBy("img_id").agg(F.max_by("text", F.struct("z", "text")).alias("text"), F.max("z").alias("m"))
     total = logits.join(top.select("img_id", "m"), "img_id").groupBy("img_id").agg(F.sum(F.exp(F.col("z") - F.col("m"))).alias("s"))
@@ -288,4 +286,4 @@ def knee(distances: list[float]) -> float:
     if n < 3 or math.isclose(distances[0], distances[-1]):
         return distances[-1] if distances else 0.0
     slope = (distances[-1] - distances[0]) / (n - 1)
-    return max(range(n), key=lambda i: abs(distances[0] + slope * i - distances[i])) and distances[max(range(n), key=lambda i: abs(distances[0] + slope * i - distances[i]))]
+    return distances[max(range(n), key=lambda i: abs(distances[0] + slope * i - distances[i]))]

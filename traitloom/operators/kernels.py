@@ -295,7 +295,8 @@ def matched(channel: np.ndarray, target: np.ndarray) -> np.ndarray:
     """A channel mapped so that its distribution follows a target histogram of 256 shares."""
     n = np.bincount(channel.astype(int).ravel(), minlength=256)
     own, goal = np.cumsum(n) / max(n.sum(), 1), np.cumsum(target) / target.sum()
-    return np.interp(own, goal, np.arange(256))[channel.astype(int)]
+    held = np.flatnonzero(target)  # levels that are absent would make the curve flat
+    return np.interp(own, goal[held], held)[channel.astype(int)]
 
 
 def resized(a: np.ndarray, h: int, w: int) -> np.ndarray:

@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 
-R, G, B = F.col("r"), F.col("g"), F.col("b")
+
+def rgb() -> tuple[Column, Column, Column]:
+    """The channel columns."""
+    return F.col("r"), F.col("g"), F.col("b")
 
 
 def foreground(px: DataFrame) -> DataFrame:
+    R, G, B = rgb()
     return px.where(color.is_foreground(R, G, B))
 
 
 def mean_color_columns(counted: Column | None = None) -> dict[str, Column]:
     """Means over all rows, or over those `counted`."""
+    R, G, B = rgb()
     h, s, v = color.hsv(R, G, B)
     light, _, _ = color.lab(R, G, B)
     values = {"red": R, "green": G, "blue": B, "hue": h, "saturation": s, "value": v, "cielab_lightness": light}
@@ -35,6 +40,7 @@ def mean_color(px: DataFrame) -> DataFrame:
 
 
 def circular_mean_hue(px: DataFrame) -> DataFrame:
+    R, G, B = rgb()
     turn = color.hsv(R, G, B).a * (2 * math.pi)
     angle = F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))) / (2 * math.pi)
     return foreground(px).groupBy("img_id").agg(F.when(angle < 0, angle + 1).otherwise(angle).alias("mean_hue_circular"))
@@ -51,6 +57,7 @@ def _as_turn(space: str, channel: int, value: float) -> float:
 
 def condition(spec: Sequence) -> Column:
     """(space, channel, value, 'below' | 'above') or (space, channel, (low, high), 'between' | 'outside'); all ends count as inside."""
+    R, G, B = rgb()
     space, channel, limit, direction = str(spec[0]).lower(), int(spec[1]), spec[2], spec[3]
     if space not in ("rgb", "hls") or channel not in (0, 1, 2):
         raise ValueError(f"no such channel: {space}, {channel}")
@@ -94,6 +101,7 @@ def threshold(spec: Sequence) -> tuple[str, Column]:
 
 def threshold_fractions(px: DataFrame, specs: Sequence[Sequence]) -> DataFrame:
     """One row for every image; null where an image has no foreground."""
+    R, G, B = rgb()
     front = color.is_foreground(R, G, B)
     return px.groupBy("img_id").agg(*[F.avg(F.when(front, meets.cast("double"))).alias(name) for name, meets in map(threshold, specs)])
 
@@ -112,6 +120,7 @@ def bright_colors(lightness: float = 0.2, saturation: float = 0.3, blue_lightnes
 
 def metrics_table(px: DataFrame, specs: Sequence[Sequence] = ()) -> DataFrame:
     """All means and thresholds of every image in one pass and one shuffle; images without foreground keep a row of nulls."""
+    R, G, B = rgb()
     front = color.is_foreground(R, G, B)
     columns = mean_color_columns(front) | {name: F.avg(F.when(front, meets.cast("double"))) for name, meets in map(threshold, specs)}
     return px.groupBy("img_id").agg(*[v.alias(k) for k, v in columns.items()])
@@ -119,6 +128,7 @@ def metrics_table(px: DataFrame, specs: Sequence[Sequence] = ()) -> DataFrame:
 
 def clip_metrics(px: DataFrame, low: float = 5, high: float = 250, per_channel: bool = True) -> DataFrame:
     """Shares of pixels with any or all channels at an end of the scale; limits up to 1 are shares of 255."""
+    R, G, B = rgb()
     low, high = (round(255 * t) if t <= 1 else t for t in (low, high))
     out = [F.count("*").alias("n_pixels")]
     for side, meets in (("high", lambda c: c >= high), ("low", lambda c: c <= low)):
@@ -132,6 +142,7 @@ def clip_metrics(px: DataFrame, low: float = 5, high: float = 250, per_channel:
 
 def midtone(px: DataFrame, robust: tuple[float, float] = (0.05, 0.95), band: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
     """Illumination metrics of lightness stretched between robust percentiles; null where there are under 10 pixels or no spread."""
+    R, G, B = rgb()
     light = foreground(px).select("img_id", (color.lab(R, G, B).a / 100.0).alias("l"))
     # one aggregate row an image holds the values' counts, so exact percentiles need one shuffle only
     at = light.groupBy("img_id").agg(F.count("*").alias("n"), F.percentile("l", F.array(F.lit(robust[0]), F.lit(robust[1]), F.lit(0.1), F.lit(0.9), F.lit(0.5))).alias("p"))
@@ -163,6 +174,7 @@ def midtone(px: DataFrame, robust: tuple[float, float] = (0.05, 0.95), band: tup
 
 
 def colorfulness(px: DataFrame) -> DataFrame:
+    R, G, B = rgb()
     rg, yb = (R - G).cast("double"), ((R + G) / 2.0 - B).cast("double")
     a, c = F.abs(rg), F.abs(yb)
     sq = lambda v: v * v
@@ -177,6 +189,7 @@ def rgb_stats(px: DataFrame) -> DataFrame:
 
 def histogram(px: DataFrame, group: str = "img_id", bins: int = 256) -> DataFrame:
     """group, channel, bin, share: each channel's histogram over 0..255, closed at its end, summing to 1."""
+    R, G, B = rgb()
     long = px.select(group, F.explode(F.array(*[F.struct(F.lit(i).alias("channel"), F.least(F.lit(bins - 1), F.floor(c * F.lit(bins) / F.lit(255.0))).cast("int").alias("bin")) for i, c in enumerate((R, G, B))])).alias("e"))
     n = long.groupBy(group, "e.channel", "e.bin").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group, "channel")))
@@ -184,6 +197,7 @@ def histogram(px: DataFrame, group: str = "img_id", bins: int = 256) -> DataFram
 
 def joint_histogram(px: DataFrame, bins: int = 32) -> DataFrame:
     """img_id, bin, value: joint histogram of pixels without any zero channel, of unit Euclidean length."""
+    R, G, B = rgb()
     step = 256 // bins
     whole = px.where((R > 0) & (G > 0) & (B > 0))
     cell = sum((F.floor(c / step).cast("int") * m for c, m in ((R, bins * bins), (G, bins), (B, 1))), F.lit(0))
@@ -193,6 +207,7 @@ def joint_histogram(px: DataFrame, bins: int = 32) -> DataFrame:
 
 def pattern_summary(px: DataFrame, least_sum: int = 10) -> DataFrame:
     """Colours of all patterns with counts and percentages of all counted pixels."""
+    R, G, B = rgb()
     n = px.where(R + G + B >= least_sum).groupBy("r", "g", "b").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     return n.join(F.broadcast(total)).select("r", "g", "b", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))  # one row: a scalar
@@ -217,6 +232,7 @@ def palette(px: DataFrame) -> DataFrame:
 
 def hsv_palette(px: DataFrame) -> DataFrame:
     """cluster_001.. by hue, saturation and value."""
+    R, G, B = rgb()
     each = foreground(px).select("r", "g", "b").distinct()
     h, s, v = color.hsv(R, G, B)
     n = numbered(each.select("r", "g", "b", h.alias("h"), s.alias("s"), v.alias("v")), ["h", "s", "v", "r", "g", "b"], "k")
@@ -240,6 +256,7 @@ def palette_shares(px: DataFrame) -> DataFrame:
 
 def palette_shares_wide(px: DataFrame, colors: list[tuple[int, int, int]]) -> DataFrame:
     """One share column for each listed colour, 0 where absent."""
+    R, G, B = rgb()
     columns = []
     for i, (r, g, b) in enumerate(colors, 1):
         columns.append(F.avg(((R == r) & (G == g) & (B == b)).cast("double")).alias(f"col_{i}_prop"))
@@ -268,6 +285,7 @@ def palette_coverage(px: DataFrame, pal: DataFrame, tolerance: float, max_palett
 
 
 def gray_relation(px: DataFrame) -> DataFrame:
+    R, G, B = rgb()
     return px.select("img_id", "y", "x", color.gray8(R, G, B).cast("long").alias("gray"))
 
 
