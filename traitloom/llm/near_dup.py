@@ -13,7 +13,7 @@ the same set form a class; all else is done per class.
   (by the sizes of all lists it is in), which joins large groups of copies
   without their pairs.  Further rounds compare
   the lists that still hold several components with other classes, until a round
-  gives under `few_links` links (or `rounds` are over).  Then what lists still hold
+  gives under the share `worth` of the most links (or `rounds` are over).  Then what lists still hold
   several components give all pairs across components, so rounds only save work.
 * Pairs are filtered at their shared value by set sizes, by what can still be
   shared from there on, and by one bit of the least hash in each of 64 bins; then
@@ -45,6 +45,8 @@ from .hashing import mix, word_hashes
 
 #: Rows (an id and a class of 20 bytes each) up to which a table is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Shingles that a task counts at a time.
+COUNTED = 500_000
 #: ln of the chance that a true pair is missed.
 MISS = math.log(1e-9)
 
@@ -123,17 +125,16 @@ def frequent_shingles(view: DataFrame, words: int, local: int, total: int, limit
     def run(batches):
         kept, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            held = []
-            for c in chunks(b, "text"):
-                held += shingle_sets([x or b"" for x in c.column("text").to_pylist()], words)
-            if held:
-                k, n = np.unique(np.concatenate(held), return_counts=True)
+            for c in chunks(b, "text", 1 << 20):
+                k, n = np.unique(np.concatenate(shingle_sets([x or b"" for x in c.column("text").to_pylist()], words)), return_counts=True)
                 both = np.concatenate((kept, k))
                 kept, inverse = np.unique(both, return_inverse=True)
                 count = np.bincount(inverse, np.concatenate((count, n)), len(kept)).astype(np.int64)
-                if len(kept) > 4_000_000:  # bounded memory: rare ones are let go
-                    many = count > 1
+                least_kept = 2
+                while len(kept) > COUNTED:  # bounded memory: the rarest are let go
+                    many = count >= least_kept
                     kept, count = kept[many], count[many]
+                    least_kept += 1
         many = count >= local
         yield pa.RecordBatch.from_arrays([pa.array(kept[many].view(np.int64)), pa.array(count[many])], ["h", "n"])
 
@@ -238,7 +239,7 @@ def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return written(now.join(several.select("v"), "v", "left_semi"))
 
 
-def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 8, few_links: int = 200) -> DataFrame:
+def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 4, worth: float = 0.05) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of its component) and cls of every document."""
     view = doc_view(docs, id_col, text_col)
     id_type = view.schema["doc_id"].dataType.simpleString()
@@ -265,6 +266,7 @@ def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 3
     middle = in_lists.groupBy("cls").agg(F.sum("held").alias("degree"))
     open_rows = written(in_lists.drop("held").join(middle, "cls").withColumn("root", F.col("cls")))
     examined = links = roots = None
+    most_links = 0
     for k in range(rounds):
         # every class against one class of each of its lists: the most central, then others by another order each time
         key = F.struct(-F.col("degree"), "cls") if not k else F.struct(F.xxhash64("cls", F.lit(k)), "cls")
@@ -273,7 +275,8 @@ def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 3
         links, roots, examined, new = tried(spokes.select(*ordered).distinct(), links, roots, examined, view, classes, words, least, sketch)
         if new:
             open_rows = still_open(open_rows, roots)
-        if new < few_links:
+        most_links = max(most_links, new)
+        if new <= worth * most_links:
             break
     # what is left: lists that hold several components, across components
     x, y = (named(open_rows, s, *facts, "root") for s in "xy")
