@@ -259,7 +259,7 @@ def grow(sums: DataFrame, *, least_count: int, least_gain: float, max_states: in
     return SuffixTree({r.x: r.n for r in levels[0].collect()}, contexts)
 
 
-def score(docs: DataFrame, trains: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, least_count: int = 8, least_gain: float = 12.0, max_states: int = 40_000, more: tuple[Column, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, trains: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, least_count: int = 8, least_gain: float = 12.0, max_states: int = 25_000, more: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, any more columns asked for, n_tokens, n_known, train_tokens, base_score and score of each document."""
     view = doc_view(docs, id_col, text_col, F.coalesce(trains, F.lit(False)).alias("trains"), *more)
     kept = [c for c in view.columns if c not in ("text", "trains")]
