@@ -14,7 +14,7 @@ from traitloom.llm.common import read, written
 from traitloom.llm.queries import tokenizer_path
 
 #: Bytes of a string whose repeats are removed: shorter than any passage of 50 words, longer than a stock line.
-PASSAGE_BYTES = 200
+PASSAGE_BYTES = 240
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -483,11 +483,11 @@ def test_removed_bytes_match_brute_force(spark, group):
     rows += ["", rows[0], rows[0], "ab" * 200, "x" * 300, passages[0] + passages[0], None]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
     whole, spans = suffix_dedup.find(df, size=80, group_contexts=group)
-    found = {r.digest: r.spans for r in spans.collect()}
+    found = {bytes(r.digest): r.spans for r in spans.collect()}
     want = repeats_by_brute_force([(t or "").encode() for t in rows], 80)
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, size=80).collect()}
     for i, (n, runs, kept) in enumerate(want):
-        s = found.get(hashlib.md5((rows[i] or "").encode()).hexdigest(), [])
+        s = found.get(hashlib.md5((rows[i] or "").encode()).digest(), [])
         assert (sum(x.stop - x.start for x in s), len(s)) == (n, runs)
         assert bytes(got[i].kept__) == kept
     for r in suffix_dedup.remove_repeats(df, size=80, whole_characters=True).collect():

@@ -7,7 +7,7 @@ import numpy as np
 from .hashing import RangeHash
 
 #: Bytes of an anchor's own gram.
-GRAM = 64
+GRAM = 40
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:

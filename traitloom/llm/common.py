@@ -81,15 +81,42 @@ def doc_view(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
 
 
-def written(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+#: Paths written since each last_written() began.
+_open: list[list[str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the shared checkpoint folder (smaller there than checkpoint())."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def last_written(spark: SparkSession, make) -> DataFrame:
+    """A table made by `make()`, written; all tables written on the way are deleted."""
+    _open.append([])
+    try:
+        out = make()
+        inside = _open.pop()
+    except BaseException:
+        discard(spark, _open.pop())
+        raise
+    kept = written(out)
+    discard(spark, inside)
+    return kept
+
+
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 

@@ -114,7 +114,7 @@ def window_blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, max_
 def annotate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, spans (hit word ranges, maximal, ascending) and items (sorted as strings) of each document."""
     spark = docs.sparkSession
-    view = doc_view(docs, id_col, text_col)
+    view = doc_view(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     id_type = view.schema["doc_id"].dataType.simpleString()
     parts = []
     for windows in window_blocks(benchmark, item_col, item_text_col, n, max_block_bytes):
@@ -127,29 +127,28 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str
                     yield pa.RecordBatch.from_arrays(
                         [
                             b.column("doc_id"),
+                            b.column("key"),
                             pa.array([r[0] for r in rows], pa.int64()),
                             pa.array([[{"start": i, "stop": j} for i, j in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                             pa.array([r[2] for r in rows], pa.list_(pa.string())),
                         ],
-                        ["doc_id", "n_words", "spans", "items"],
+                        ["doc_id", "key", "n_words", "spans", "items"],
                     )
 
-        parts.append(view.mapInArrow(scan, f"doc_id {id_type}, n_words bigint, spans {SPANS}, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    return merged(parts, view, id_type)
+        parts.append(view.mapInArrow(scan, f"doc_id {id_type}, key bigint, n_words bigint, spans {SPANS}, items array<string>"))
+    return (parts[0] if len(parts) == 1 else merged(parts)).drop("key")
 
 
-def merged(parts: list[DataFrame], view: DataFrame, id_type: str) -> DataFrame:
-    """Joins the partial hits of item blocks: only documents with hits are shuffled whole."""
-    whole = parts[0].select("doc_id", "n_words")
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """Joins the partial hits of item blocks; key tells apart texts that share an id."""
+    whole = parts[0].select("doc_id", "key", "n_words")
     found = parts[0].where("size(items) > 0")
     for p in parts[1:]:
         found = found.unionByName(p.where("size(items) > 0"))
-    found = found.distinct().groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    found = found.select(F.col("doc_id").alias("k"), united("s").alias("spans"), "items")
-    return whole.join(found, F.col("doc_id").eqNullSafe(F.col("k")), "left").select(
-        "doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
+    found = found.distinct().groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.select(F.col("doc_id").alias("k"), F.col("key").alias("t"), united("s").alias("spans"), "items")
+    return whole.join(found, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("key").eqNullSafe(F.col("t")), "left").select(
+        "doc_id", "key", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_view, space_words, written
+from .common import chunks, doc_view, last_written, space_words, written
 from .components import connected
 from .hashing import mix, word_hashes
 
@@ -241,7 +241,11 @@ def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 4, worth: float = 0.05) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of its component) and cls of every document."""
-    view = doc_view(docs, id_col, text_col)
+    make = lambda: linked(doc_view(docs, id_col, text_col), words, least, sketch, frequent_local, frequent_total, frequent_limit, rounds, worth)
+    return last_written(docs.sparkSession, make)
+
+
+def linked(view: DataFrame, words: int, least: float, sketch: int, frequent_local: int, frequent_total: int, frequent_limit: int, rounds: int, worth: float) -> DataFrame:
     id_type = view.schema["doc_id"].dataType.simpleString()
     frequent = frequent_shingles(view, words, frequent_local, frequent_total, frequent_limit)
     each = written(sketched(view, id_type, words, least, sketch, frequent))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchor_runs
-from .common import SPANS, joined_texts, united, written
+from .common import SPANS, joined_texts, last_written, united, written
 from .hashing import RangeHash, mix
 
 
@@ -96,7 +96,7 @@ def repeated_starts(data: bytes, starts: np.ndarray, size: int) -> tuple[np.ndar
     return hit[back], later[back]
 
 
-ANCHORS = "digest string, first bigint, last bigint, anchor bigint, context bigint, place bigint"
+ANCHORS = "digest binary, first bigint, last bigint, anchor bigint, context bigint, place bigint"
 
 
 def runs_of(batches, size: int):
@@ -112,7 +112,7 @@ def runs_of(batches, size: int):
                 o = int(starts[k])
                 a, h, s, e = anchor_runs(hashes, o, o + len(t), size)
                 context = hashes.of(s, e + size) ^ mix((a - s).astype(np.uint64) + (h << np.uint64(1)))
-                place = mix((s - o).astype(np.uint64) ^ np.uint64(int(digests[k][:16], 16)))
+                place = mix((s - o).astype(np.uint64) ^ np.uint64(int.from_bytes(digests[k][:8], "big")))
                 found.append((s - o, e - o, h.view(np.int64), context.view(np.int64), place.view(np.int64)))
                 who.append(np.full(len(a), k))
         if found:
@@ -121,8 +121,7 @@ def runs_of(batches, size: int):
             yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(at)), *map(pa.array, columns)], [c.split()[0] for c in ANCHORS.split(", ")])
 
 
-CONTEXTS = "anchor bigint, part int, parts int, digest string, first bigint, context binary"
-FOUND = "digest string, start bigint, stop bigint, hash bigint, place bigint"
+FOUND = "digest binary, start bigint, stop bigint, hash bigint, place bigint"
 
 
 def sort_contexts(batches, size: int, limit: int = 1 << 20):
@@ -141,7 +140,7 @@ def sort_contexts(batches, size: int, limit: int = 1 << 20):
         starts = np.arange(int(many.sum())) - base[owner] + offset[owner]
         hit, later = repeated_starts(data, starts, size)
         place = starts - offset[owner] + np.array([r[4] for r in rows], np.int64)[owner]
-        digests = pa.array([r[3] for r in rows], pa.string())
+        digests = pa.array([r[3] for r in rows], pa.binary())
         # ranges of neighbouring repeated starts
         edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))) | np.concatenate(([0], (owner[1:] != owner[:-1]).astype(np.int8), [0])))
         a, z = edge[:-1], edge[1:] - 1
@@ -152,7 +151,7 @@ def sort_contexts(batches, size: int, limit: int = 1 << 20):
         split = np.flatnonzero(np.array([r[2] > 1 for r in rows], bool)[owner] & ~later)
         if len(split):
             h = RangeHash(np.frombuffer(data, np.uint8)).of(starts[split], starts[split] + size) ^ mix(np.array([r[0] for r in rows], np.int64)[owner[split]].view(np.uint64))
-            one = np.array([int(r[3][:16], 16) for r in rows], np.uint64)[owner[split]]
+            one = np.array([int.from_bytes(r[3][:8], "big") for r in rows], np.uint64)[owner[split]]
             yield pa.RecordBatch.from_arrays(
                 [digests.take(pa.array(owner[split])), pa.array(place[split]), pa.array(place[split] + size), pa.array(h.view(np.int64)), pa.array(mix(place[split].astype(np.uint64) ^ one).view(np.int64))],
                 [c.split()[0] for c in FOUND.split(", ")],
@@ -174,8 +173,13 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     """(documents with their columns, `text__` as bytes and `digest__`; spans per digest: digest, spans).  A text without a row in spans is kept."""
     if size < GRAM + 8:
         raise ValueError(f"size must be at least {GRAM + 8}")
-    whole = docs.withColumn("text__", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn("digest__", F.md5("text__"))
+    whole = docs.withColumn("text__", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn("digest__", F.unhex(F.md5("text__")))
     view = whole.select(F.col(id_col).alias("doc_id"), F.col("digest__").alias("digest"), F.col("text__").alias("text")).where(F.octet_length("text") >= size)
+    return whole, last_written(docs.sparkSession, lambda: repeats(view, size, group_contexts))
+
+
+def repeats(view: DataFrame, size: int, group_contexts: int) -> DataFrame:
+    """digest, spans of every text of `view` (doc_id, digest, text) that loses anything."""
     copies = view.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
     copied = written(copies.where("n > 1").select("digest", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop")).alias("span"), "doc_id"))
     anchors = written(view.select("digest", "text").mapInArrow(lambda b: runs_of(b, size), ANCHORS))
@@ -197,7 +201,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     shared = across.groupBy("hash").agg(F.min("place").alias("l"), F.max("place").alias("h")).where("l < h").select("hash")
     spans = full.unionByName(found.where("hash IS NULL").select("digest", "start", "stop")).unionByName(across.join(shared, "hash", "left_semi").select("digest", "start", "stop"))
     partly = spans.join(copied, "digest", "left_anti").groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
-    return whole, partly.select("digest", united("s").alias("spans")).unionByName(copied.select("digest", F.array("span").alias("spans")))
+    return partly.select("digest", united("s").alias("spans")).unionByName(copied.select("digest", F.array("span").alias("spans")))
 
 
 def inward(spans: str) -> Column:
