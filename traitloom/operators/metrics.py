@@ -184,6 +184,7 @@ def colorfulness(px: DataFrame) -> DataFrame:
 
 def rgb_stats(px: DataFrame) -> DataFrame:
     """Population mean and deviation of each channel over all pixels."""
+    R, G, B = rgb()
     return px.groupBy("img_id").agg(*[f(c).alias(f"{p}_{n}") for n, c in (("r", R), ("g", G), ("b", B)) for p, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
