@@ -444,6 +444,35 @@ def test_tree_walk_matches_longest_suffixes():
         assert tree.scores([words], window=3)[0] == pytest.approx(want, abs=1e-4)
 
 
+def test_all_contexts_that_pass_the_test_score(spark):
+    """More than 25,000 contexts pass; scores equal a walk of the whole tree, with texts dealt into blocks and without."""
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    lines = [b" ".join(letters[rng.integers(0, 26, 9)].tobytes() for _ in range(100)) for _ in range(36)]
+    rows = [(i, t.decode()) for i, t in enumerate(lines * 24)] + [(-1, "held out words zz"), (-2, None)]
+    symbols, _, counts = suffix_tree_lm.stream([t.split() for t in lines * 24])
+    codes, n = np.unique(suffix_tree_lm.grams(symbols, counts), return_counts=True)
+    below, kept = {}, {}
+    for d in range(suffix_tree_lm.DEPTH + 1):
+        level = {}
+        for c, k in zip(codes.tolist(), n.tolist(), strict=True):
+            own = level.setdefault((c >> 6) & ((1 << 6 * d) - 1), {})
+            own[c & 63] = own.get(c & 63, 0) + k
+        for context, own in level.items() if d else ():
+            m, all_own = below[context & ((1 << 6 * (d - 1)) - 1)], sum(own.values())
+            gain = sum(k * np.log((k / all_own) / (m[x] / sum(m.values()))) for x, k in own.items())
+            if all_own >= 8 and gain >= 12:
+                kept[d, context] = own
+        below, root = level, level[0] if not d else root
+    assert len(kept) > 25_000
+    sample = [0, 7, 35, len(rows) - 2, len(rows) - 1]
+    want = suffix_tree_lm.SuffixTree(root, kept).scores([(rows[i][1] or "").encode().split() for i in sample])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (16 << 20, 100_000):
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score(df, F.col("doc_id") >= 0, block_bytes=block).collect()}
+        assert [got[rows[i][0]] for i in sample] == pytest.approx(want.tolist(), abs=1e-2)
+
+
 # 10
 
 
