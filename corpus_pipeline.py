@@ -13,8 +13,10 @@ from traitloom.llm import decontam, langid, near_dup, packing, suffix_dedup
 from traitloom.llm.common import read, written
 from traitloom.llm.queries import tokenizer_path
 
-#: Bytes of a string whose repeats are removed: shorter than any passage of 50 words, longer than a stock line.
+#: Bytes of a string whose repeats are removed whatever its words: longer than a stock line.
 PASSAGE_BYTES = 240
+#: Words of a string whose repeats are removed even where it has fewer bytes: any passage of over 50 words holds one.
+PASSAGE_WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that stand more than once are cut out; documents of which nothing is left go."""
-    done = suffix_dedup.remove_repeats(docs, size=PASSAGE_BYTES, whole_characters=True)
+    done = suffix_dedup.remove_repeats(docs, size=PASSAGE_BYTES, words=PASSAGE_WORDS, whole_characters=True)
     text = F.when(F.size("spans__") > 0, F.col("kept__").cast("string")).otherwise(F.col("text"))
     left = done.where((F.size("spans__") == 0) | (F.octet_length(F.trim(F.col("kept__").cast("string"))) > 0))
     out = left.withColumn("text", text)

@@ -546,3 +546,17 @@ def test_pipeline_keeps_what_it_should(spark, docs):
     assert d.count() > 0
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert bench
+
+
+def test_pipeline_cuts_short_passages_of_over_fifty_words(spark):
+    """A repeat of 51 words in 101 bytes goes; one of 50 words, and the same words with another blank between, stay."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    passage = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    far, near, spaced, alone = passage(51), passage(50), passage(51), passage(51)
+    texts = [f"Alphaaaa {far} Betaaaaa", f"Gammaaaa {far}", f"Deltaaaa {near} Epsilonn", f"Zetaaaaa {near}", f"Etaaaaaa {spaced}", f"Thetaaaa {spaced.replace(' ', '  ', 1)}", alone, alone]
+    assert len(far) == 101
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, df, SF).collect()}
+    assert got == {0: "Alphaaaa  Betaaaaa", 1: "Gammaaaa ", **{i: texts[i] for i in range(2, 6)}}

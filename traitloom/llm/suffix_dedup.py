@@ -14,16 +14,22 @@ removed.  The work is narrowed before it is sorted:
    others are induced from them by a scan of the first-byte buckets in
    ascending order.  Common prefixes of neighbours then tell the repeated starts.
 
+With `words`, strings of that many words are found as well where they are shorter
+than `size`: these are few, so each is hashed and counted (a longer one is found
+by its bytes).
+
 An anchor with very many contexts is cut into groups by hash; each group also
 sends one hash per distinct start, which are counted across groups.
 
 Defined cases: null text counts as empty; texts shorter than `size` are kept;
-repeated rows are copies like any other; matches never cross documents; an empty
+repeated rows are copies like any other; words are cut at ASCII blanks; matches never cross documents; an empty
 table gives no row; other columns are ignored (find) or passed through (clean).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -121,6 +127,29 @@ def runs_of(batches, size: int):
             yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(at)), *map(pa.array, columns)], [c.split()[0] for c in ANCHORS.split(", ")])
 
 
+SHORT = "digest binary, start bigint, stop bigint, hash binary"
+
+
+def short_windows(batches, words: int, size: int):
+    """Every string of `words` words, from its first word's start to its last one's end, that is shorter than `size` bytes."""
+    for b, texts, buffer, starts in joined_texts(batches, "text", 1 << 19):
+        a = np.frombuffer(buffer, np.uint8)
+        inside = ~((a == 0x20) | ((a >= 0x09) & (a <= 0x0D)))
+        who, found, hashes = [], [], []
+        for k, t in enumerate(texts):
+            o = int(starts[k])
+            edge = np.diff(np.concatenate(([0], inside[o : o + len(t)].astype(np.int8), [0])))
+            first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            first, stop = first[: max(0, len(first) - words + 1)], stop[words - 1 :]
+            few = stop - first < size
+            found.append(np.stack([first[few], stop[few]]))
+            who.append(np.full(int(few.sum()), k))
+            hashes += [hashlib.md5(t[x:y]).digest() for x, y in found[-1].T.tolist()]
+        if hashes:
+            start, stop = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(np.concatenate(who))), pa.array(start), pa.array(stop), pa.array(hashes, pa.binary())], [c.split()[0] for c in SHORT.split(", ")])
+
+
 FOUND = "digest binary, start bigint, stop bigint, hash bigint, place bigint"
 
 
@@ -169,17 +198,18 @@ def sort_contexts(batches, size: int, limit: int = 1 << 20):
         yield from flush()
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, group_contexts: int = 6000) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, words: int | None = None, group_contexts: int = 6000) -> tuple[DataFrame, DataFrame]:
     """(documents with their columns, `text__` as bytes and `digest__`; spans per digest: digest, spans).  A text without a row in spans is kept."""
     if size < GRAM + 8:
         raise ValueError(f"size must be at least {GRAM + 8}")
     whole = docs.withColumn("text__", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn("digest__", F.unhex(F.md5("text__")))
-    view = whole.select(F.col(id_col).alias("doc_id"), F.col("digest__").alias("digest"), F.col("text__").alias("text")).where(F.octet_length("text") >= size)
-    return whole, last_written(docs.sparkSession, lambda: repeats(view, size, group_contexts))
+    view = whole.select(F.col(id_col).alias("doc_id"), F.col("digest__").alias("digest"), F.col("text__").alias("text"))
+    return whole, last_written(docs.sparkSession, lambda: repeats(view, size, words, group_contexts))
 
 
-def repeats(view: DataFrame, size: int, group_contexts: int) -> DataFrame:
-    """digest, spans of every text of `view` (doc_id, digest, text) that loses anything."""
+def repeats(every: DataFrame, size: int, words: int | None, group_contexts: int) -> DataFrame:
+    """digest, spans of every text of `every` (doc_id, digest, text) that loses anything."""
+    view = every.where(F.octet_length("text") >= size)
     copies = view.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
     copied = written(copies.where("n > 1").select("digest", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop")).alias("span"), "doc_id"))
     anchors = written(view.select("digest", "text").mapInArrow(lambda b: runs_of(b, size), ANCHORS))
@@ -200,6 +230,10 @@ def repeats(view: DataFrame, size: int, group_contexts: int) -> DataFrame:
     across = found.where("hash IS NOT NULL")
     shared = across.groupBy("hash").agg(F.min("place").alias("l"), F.max("place").alias("h")).where("l < h").select("hash")
     spans = full.unionByName(found.where("hash IS NULL").select("digest", "start", "stop")).unionByName(across.join(shared, "hash", "left_semi").select("digest", "start", "stop"))
+    if words:
+        short = written(every.select("digest", "text").mapInArrow(lambda b: short_windows(b, words, size), SHORT))
+        twice = short.groupBy("hash").count().where("count > 1").select("hash")
+        spans = spans.unionByName(short.join(twice, "hash", "left_semi").select("digest", "start", "stop"))
     partly = spans.join(copied, "digest", "left_anti").groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
     return partly.select("digest", united("s").alias("spans")).unionByName(copied.select("digest", F.array("span").alias("spans")))
 
@@ -212,9 +246,9 @@ def inward(spans: str) -> Column:
     return F.transform(spans, lambda x: F.struct(ahead(x["start"]).alias("start"), back(x["stop"]).alias("stop")))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, words: int | None = None, whole_characters: bool = False) -> DataFrame:
     """The documents with all their columns, and: spans__ (removed byte ranges), kept__ (what is left, as bytes)."""
-    whole, spans = find(docs, id_col=id_col, text_col=text_col, size=size)
+    whole, spans = find(docs, id_col=id_col, text_col=text_col, size=size, words=words)
     out = whole.join(spans.withColumnRenamed("digest", "digest__").withColumnRenamed("spans", "spans__"), "digest__", "left")
     if whole_characters:
         out = out.withColumn("spans__", inward("spans__"))
