@@ -560,3 +560,19 @@ def test_pipeline_cuts_short_passages_of_over_fifty_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, df, SF).collect()}
     assert got == {0: "Alphaaaa  Betaaaaa", 1: "Gammaaaa ", **{i: texts[i] for i in range(2, 6)}}
+
+
+def test_one_row_of_each_component_passes_both_stages(spark):
+    """Repeated rows, null-id copies and one id for different texts: a text stays once, and isn't cut as its own copy."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join(f"{chr(97 + k)}{rng.randint(0, 10**6)}" for _ in range(60)) for k in range(5))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (4, d), (4, e), (1, a), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert one.columns == df.columns
+    left = corpus_pipeline.repeated_passages(spark, corpus_pipeline.written(one.where("length(text) > 0")), SF)
+    want = sorted([(1, a), (2, b), (None, c), (3, d), (4, e)], key=str)
+    assert sorted(map(tuple, left.collect()), key=str) == want
+    assert one.count() == len(want) + 2

@@ -147,8 +147,11 @@ def frequent_shingles(view: DataFrame, words: int, local: int, total: int, limit
     return hashes[order], np.minimum(levels[order], 63)
 
 
-def sketched(view: DataFrame, id_type: str, words: int, least: float, sketch: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def sketched(view: DataFrame, words: int, least: float, sketch: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """cls, n, keys, sketch, bins of every row, with its columns but the text."""
     shared = view.sparkSession.sparkContext.broadcast(frequent)
+    kept = [c for c in view.columns if c != "text"]
+    types = [f"{c} {view.schema[c].dataType.simpleString()}" for c in kept]
 
     def run(batches):
         for batch in batches:
@@ -156,17 +159,17 @@ def sketched(view: DataFrame, id_type: str, words: int, least: float, sketch: in
                 sets = shingle_sets([x or b"" for x in b.column("text").to_pylist()], words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id"),
+                        *(b.column(c) for c in kept),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s) for s in sets], pa.binary()),
                         pa.array([retained(s, *shared.value, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
                         pa.array([np.sort(mix(s))[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64())),
                         pa.array([bins(s) for s in sets], pa.int64()),
                     ],
-                    ["doc_id", "n", "cls", "keys", "sketch", "bins"],
+                    [*kept, "n", "cls", "keys", "sketch", "bins"],
                 )
 
-    return view.mapInArrow(run, f"doc_id {id_type}, n bigint, cls binary, keys array<bigint>, sketch array<bigint>, bins bigint")
+    return view.mapInArrow(run, ", ".join([*types, "n bigint, cls binary, keys array<bigint>, sketch array<bigint>, bins bigint"]))
 
 
 def shingles(text: bytes, words: int) -> set:
@@ -246,9 +249,8 @@ def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 3
 
 
 def linked(view: DataFrame, words: int, least: float, sketch: int, frequent_local: int, frequent_total: int, frequent_limit: int, rounds: int, worth: float) -> DataFrame:
-    id_type = view.schema["doc_id"].dataType.simpleString()
     frequent = frequent_shingles(view, words, frequent_local, frequent_total, frequent_limit)
-    each = written(sketched(view, id_type, words, least, sketch, frequent))
+    each = written(sketched(view, words, least, sketch, frequent))
     classes = written(each.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch", "bins")]))
     lists = classes.select(F.posexplode("keys").alias("at", "v"), "cls", "n", "bins")
     most = most_differing(least)
@@ -289,13 +291,37 @@ def linked(view: DataFrame, words: int, least: float, sketch: int, frequent_loca
 
     group = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least_id = group.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = group.join(least_id, "root").select("cls", "component_id")
-    return each.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    labelled = group.join(least_id, "root").select("cls", "component_id", "root")
+    more = [c for c in view.columns if c not in ("doc_id", "text")]
+    return each.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", *(["root", *more] if more else []))
 
 
 def deduplicate(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one row of each component (that of the least id); rows without words stay."""
+    """The documents with all their columns but the rows whose id is not the least of their component.
+
+    It goes by ids alone: rows that repeat an id, rows with a null id and rows without words stay.  one_of_each() leaves one row.
+    """
     names = link(docs, words=words, least=least, id_col=id_col, text_col=text_col)
     gone = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone__")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
     return kept
+
+
+def one_of_each(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, exactly one row of each component whatever its ids; rows without words stay.
+
+    It is that of the least id (null last), then of the least digest of the text; of rows alike in both any one.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    view = doc_view(docs, id_col, text_col, F.unhex(digest).alias("digest"))
+    names = last_written(docs.sparkSession, lambda: linked(view, words, least, 32, 8, 48, 2_000_000, 4, 0.05))
+    rows = names.where("n_shingles > 0").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("many"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    chosen = rows.groupBy("root").agg(first.alias("w"))
+    marked = rows.join(chosen, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("digest") == F.col("w.digest")))
+    apart = written(marked.where("NOT stays OR many > 1").select(F.col("doc_id").alias("id__"), F.col("digest").alias("own__"), "stays"))
+    same = F.col(id_col).eqNullSafe(F.col("id__")) & (F.unhex(digest) == F.col("own__"))
+    once = docs.join(apart, same, "left_anti")
+    # rows alike in id and text: one of them
+    again = docs.join(apart.where("stays"), same).dropDuplicates(["own__", "id__"]).select(*[F.col(c) for c in docs.columns])
+    return once.unionByName(again)
