@@ -30,6 +30,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if jsc.getCheckpointDir().isDefined():
         return
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not there and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(there or f"/tmp/checkpoints/{uuid.uuid4().hex}")
 
 
@@ -76,11 +78,36 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+#: Bytes of an Arrow batch: a task holds a few at a time, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most BATCH_BYTES (or one row); a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, str(1 << 30)))
+    if now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def doc_view(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """The columns that a kernel reads, under fixed names: id, text as UTF-8 bytes, and any more."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Paths written since each last_written() began.
 _open: list[list[str]] = []
 

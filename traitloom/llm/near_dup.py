@@ -1,7 +1,7 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
-Each document's set of distinct word shingles is hashed once.  Documents with
-the same set form a class; all else is done per class.
+Each document's set of distinct word shingles is hashed once.  Documents of the
+same text form a class; all else is done per class.
 
 * Candidates: inverted lists of retained values.  Values are retained in one
   order for all documents, rarer shingles first and by hash within a level, so a
@@ -9,12 +9,14 @@ the same set form a class; all else is done per class.
   is at least `least` share a value among the first n - ceil(least * n) + 1 of
   each (surely), and among the first k of each with a chance of missing one of
   at most 1e-9; k follows from the set's levels.
-* First every class is compared with the most central class of each of its lists
-  (by the sizes of all lists it is in), which joins large groups of copies
-  without their pairs.  Further rounds compare
-  the lists that still hold several components with other classes, until a round
-  gives under the share `worth` of the most links (or `rounds` are over).  Then what lists still hold
-  several components give all pairs across components, so rounds only save work.
+* First every class is compared with the most central class of each of its lists,
+  which joins large groups of copies without their pairs.  Edits make shingles
+  rare, so the class of the commonest shingles counts as most central; class
+  numbers ascend in that order.  While lists that still hold several components
+  would give over `crowded` pairs a row, other classes are tried as centres, until
+  a round gives under the share `worth` of the most links (or `rounds` are over).
+  Then what lists still hold several components give all pairs across components,
+  so rounds only save work.
 * Pairs are filtered at their shared value by set sizes, by what can still be
   shared from there on, and by one bit of the least hash in each of 64 bins; then
   by the union sketch: of the `sketch` least
@@ -26,8 +28,8 @@ the same set form a class; all else is done per class.
 Defined cases: null or word-less text has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the set; repeated
 rows are one class; null ids are smallest of nothing (a component's id is its
-least non-null id); an empty table gives no row; other columns are ignored (link)
-or passed through (deduplicate).
+least non-null id); an empty table gives no row; other columns, whatever their
+names, are ignored (link) or passed through (one_of_each).
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_view, last_written, space_words, written
+from .common import chunks, doc_view, last_written, space_words, unused, written
 from .components import connected
 from .hashing import mix, word_hashes
 
@@ -47,6 +49,10 @@ from .hashing import mix, word_hashes
 BROADCAST_ROWS = 200_000
 #: Shingles that a task counts at a time.
 COUNTED = 500_000
+#: Spokes that are compared with one centre in one group of rows.
+SPOKES = 256
+#: Bits of a class's number below those of its place in the order of centrality.
+NUMBER_BITS = 54
 #: ln of the chance that a true pair is missed.
 MISS = math.log(1e-9)
 
@@ -72,21 +78,18 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(hashes: np.ndarray) -> bytes:
-    """128 bits of a set, whatever its order."""
-    with np.errstate(over="ignore"):
-        parts = [mix(hashes ^ np.uint64(c)).sum(dtype=np.uint64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-    return np.array(parts, np.uint64).tobytes() + len(hashes).to_bytes(4, "little")
+def levels_of(hashes: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The level of each hash, 0 for one that is not frequent."""
+    if not len(frequent) or not len(hashes):
+        return np.zeros(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return np.where(frequent[place] == hashes, level[place], 0)
 
 
-def retained(hashes: np.ndarray, frequent: np.ndarray, level: np.ndarray, least: float) -> np.ndarray:
-    """The values of a set (sorted by hash) that go into the inverted lists, rarer levels first and then by hash."""
+def retained(hashes: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """The values of a set (sorted by hash) that go into the inverted lists, rarer levels (`own`) first and then by hash."""
     n = len(hashes)
     exact = n - math.ceil(least * n - 1e-9) + 1
-    own = np.zeros(n, np.int64)
-    if len(frequent) and n:
-        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        own = np.where(frequent[place] == hashes, level[place], 0)
     order = np.argsort(own, kind="stable")
     # At most (1 / least - 1) * n values of a linked union are not shared.  If none of the rarer levels is, the rest of
     # those values lie among the others, in random order within a level.
@@ -148,28 +151,29 @@ def frequent_shingles(view: DataFrame, words: int, local: int, total: int, limit
 
 
 def sketched(view: DataFrame, words: int, least: float, sketch: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """cls, n, keys, sketch, bins of every row, with its columns but the text."""
+    """doc_id, own, n, place (0 for the most central), keys, sketch, bins of every row."""
     shared = view.sparkSession.sparkContext.broadcast(frequent)
-    kept = [c for c in view.columns if c != "text"]
-    types = [f"{c} {view.schema[c].dataType.simpleString()}" for c in kept]
 
     def run(batches):
         for batch in batches:
             for b in chunks(batch, "text", 1 << 20):
                 sets = shingle_sets([x or b"" for x in b.column("text").to_pylist()], words)
+                levels = [levels_of(s, *shared.value) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(b.column(c) for c in kept),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([fingerprint(s) for s in sets], pa.binary()),
-                        pa.array([retained(s, *shared.value, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        b.column("doc_id"),
+                        b.column("own"),
+                        pa.array([len(s) for s in sets], pa.int32()),
+                        pa.array([255 - min(255, int(8 * v.mean())) if len(v) else 255 for v in levels], pa.int32()),
+                        pa.array([retained(s, v, least).view(np.int64) for s, v in zip(sets, levels, strict=True)], pa.list_(pa.int64())),
                         pa.array([np.sort(mix(s))[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64())),
                         pa.array([bins(s) for s in sets], pa.int64()),
                     ],
-                    [*kept, "n", "cls", "keys", "sketch", "bins"],
+                    ["doc_id", "own", "n", "place", "keys", "sketch", "bins"],
                 )
 
-    return view.mapInArrow(run, ", ".join([*types, "n bigint, cls binary, keys array<bigint>, sketch array<bigint>, bins bigint"]))
+    kind = view.schema["doc_id"].dataType.simpleString()
+    return view.select("doc_id", "own", "text").mapInArrow(run, f"doc_id {kind}, own binary, n int, place int, keys array<bigint>, sketch array<bigint>, bins bigint")
 
 
 def shingles(text: bytes, words: int) -> set:
@@ -177,45 +181,53 @@ def shingles(text: bytes, words: int) -> set:
     return set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
 
 
-def confirmed(pairs: DataFrame, view: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is at least `least`."""
-    need = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls").join(classes.select("cls", "rep"), "cls"))
-    few = need.count() <= BROADCAST_ROWS
-    texts = view.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("rep")))
+def beside(rows: DataFrame, count: int) -> DataFrame:
+    """Rows of at most `count` as a side of a join: broadcast where these are few."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
 
-    def own(batches):
-        """An id may be repeated: the text must be the class's own, once a task."""
-        for batch in batches:
-            for b in chunks(batch, "text", 1 << 20):
-                sets = shingle_sets([x or b"" for x in b.column("text").to_pylist()], words)
-                keep = [fingerprint(s) == c for s, c in zip(sets, b.column("cls").to_pylist(), strict=True)]
-                yield b.filter(pa.array(keep, pa.bool_()))
 
-    texts = written(texts.select("cls", "text").mapInArrow(own, "cls binary, text binary"))
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+def confirmed(pairs: DataFrame, n_pairs: int, view: DataFrame, named: DataFrame, n_named: int, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is at least `least`; named: (cls, own, rep) of the classes they stand for, and perhaps more.
+
+    A centre `a` of many pairs is dealt in groups of about `SPOKES`, each a stream of a's text and then those of its b.
+    """
+    need = beside(named.select("cls", F.col("own").alias("its"), F.col("rep").alias("id")), n_named)
+    texts = written(view.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("its"))).select("cls", "text"))
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("parts"))
+    spokes = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    of_spokes = texts.join(beside(spokes, n_pairs), F.col("cls") == F.col("b")).select("a", "part", "b", "text")
+    of_centres = texts.join(beside(centres, n_pairs), F.col("cls") == F.col("a")).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
 
     def check(batches):
+        key, x, last = None, set(), None
         for batch in batches:
-            keep, last, x = [], None, set()
-            for a, s, t in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if a != last:
-                    last, x = a, shingles(s, words)
-                y = shingles(t, words)
-                both = len(x & y)
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct()
-
-
-def plausible(pairs: DataFrame, classes: DataFrame, least: float, sketch: int) -> DataFrame:
-    """Pairs whose union sketch doesn't rule a link out."""
+            found: tuple[list, list] = ([], [])
+            for some in chunks(batch, "text", 1 << 20):
+                for a, part, b, text in zip(*(some.column(c).to_pylist() for c in ("a", "part", "b", "text")), strict=True):
+                    if b is None:
+                        if key != (a, part):  # a repeated row has its text again
+                            key, x, last = (a, part), shingles(text, words), None
+                    elif b != last:
+                        last, y = b, shingles(text, words)
+                        both = len(x & y)
+                        if both >= least * (len(x) + len(y) - both) - 1e-9:
+                            found[0].append(a)
+                            found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
+
+    rows = of_spokes.unionByName(of_centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(check, "a bigint, b bigint")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, least: float, sketch: int) -> DataFrame:
+    """Pairs whose union sketch doesn't rule a link out; sketches: (cls, sketch) of their classes."""
     few = 0
     chance = (1 - least) ** sketch
     while chance < 1e-9:
         few += 1
         chance += math.comb(sketch, few) * least**few * (1 - least) ** (sketch - few)
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}"))
+    side = lambda c: sketches.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
@@ -224,87 +236,104 @@ def plausible(pairs: DataFrame, classes: DataFrame, least: float, sketch: int) -
     return both.where(shared >= bound).select("a", "b")
 
 
-def tried(pairs: DataFrame, links: DataFrame | None, roots: DataFrame | None, examined: DataFrame | None, view: DataFrame, classes: DataFrame, words: int, least: float, sketch: int):
-    """All links, their components, all pairs examined, and the number of new links, after some more pairs."""
-    new_pairs = pairs if examined is None else pairs.join(examined, ["a", "b"], "left_anti")
-    likely = written(plausible(new_pairs, classes, least, sketch))
-    found = written(confirmed(likely, view, classes, words, least))
-    n = found.count()
-    examined = likely if examined is None else examined.unionByName(likely)
-    links = found if links is None else links.unionByName(found)
-    return links, connected(links) if n or roots is None else roots, examined, n
-
+class Links:
+    """Confirmed links, their components and the pairs examined so far."""
+
+    def __init__(self, view: DataFrame, classes: DataFrame, words: int, least: float, sketch: int):
+        self.view, self.classes, self.words, self.least, self.sketch = view, classes, words, least, sketch
+        self.links = self.examined = view.sparkSession.createDataFrame([], "a bigint, b bigint")
+        self.roots = view.sparkSession.createDataFrame([], "node bigint, root bigint")
+        self.n_roots = self.n_examined = 0
+
+    def add(self, pairs: DataFrame) -> int:
+        """The number of new links among pairs (a, b)."""
+        pairs = written(pairs.join(beside(self.examined, self.n_examined), ["a", "b"], "left_anti") if self.n_examined else pairs)
+        ids = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+        if not (n_ids := ids.count()):
+            return 0
+        inside = self.classes.join(beside(ids, n_ids), "cls", "left_semi")
+        likely = written(plausible(pairs, inside.select("cls", "sketch"), self.least, self.sketch))
+        if not (n_likely := likely.count()):
+            return 0
+        self.examined = likely if not self.n_examined else self.examined.unionByName(likely)
+        self.n_examined += n_likely
+        found = written(confirmed(likely, n_likely, self.view, inside.select("cls", "own", "rep"), n_ids, self.words, self.least))
+        if new := found.count():
+            self.links = self.links.unionByName(found) if self.n_roots else found
+            self.roots = connected(self.links)
+            self.n_roots = self.roots.count()
+        return new
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Rows of classes with their components."""
+        if not self.n_roots:
+            return rows.withColumn("root", F.col("cls"))
+        roots = beside(self.roots.withColumnRenamed("node", "cls"), self.n_roots)
+        return rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 4, worth: float = 0.05, crowded: float = 64.0) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id of its component) of every document."""
+
+    def make() -> DataFrame:
+        view = text_view(docs, id_col, text_col)
+        own = components(view, words, least, sketch, frequent_local, frequent_total, frequent_limit, rounds, worth, crowded)
+        rows = view.select("doc_id", "own").join(own.select("own", "n", "component_id"), "own")
+        return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
-def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """List rows under their new roots, of values that stand in several components."""
-    now = written(rows.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    several = now.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return written(now.join(several.select("v"), "v", "left_semi"))
+    return last_written(docs.sparkSession, make)
 
 
-def link(docs: DataFrame, *, words: int = 5, least: float = 0.8, sketch: int = 32, id_col: str = "doc_id", text_col: str = "text", frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 4, worth: float = 0.05) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id of its component) and cls of every document."""
-    make = lambda: linked(doc_view(docs, id_col, text_col), words, least, sketch, frequent_local, frequent_total, frequent_limit, rounds, worth)
-    return last_written(docs.sparkSession, make)
+def text_view(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text as bytes (empty for null), and own, the text's digest."""
+    view = doc_view(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(b"")))
+    return view.withColumn("own", F.unhex(F.md5("text")))
 
 
-def linked(view: DataFrame, words: int, least: float, sketch: int, frequent_local: int, frequent_total: int, frequent_limit: int, rounds: int, worth: float) -> DataFrame:
+def components(view: DataFrame, words: int = 5, least: float = 0.8, sketch: int = 32, frequent_local: int = 8, frequent_total: int = 48, frequent_limit: int = 2_000_000, rounds: int = 4, worth: float = 0.05, crowded: float = 64.0) -> DataFrame:
+    """own, n, root, component_id of every distinct text of a text_view()."""
     frequent = frequent_shingles(view, words, frequent_local, frequent_total, frequent_limit)
-    each = written(sketched(view, words, least, sketch, frequent))
-    classes = written(each.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch", "bins")]))
-    lists = classes.select(F.posexplode("keys").alias("at", "v"), "cls", "n", "bins")
+    each = sketched(view, words, least, sketch, frequent)
+    whole = each.groupBy("own").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "place", "keys", "sketch", "bins")])
+    number = F.shiftleft(F.col("place").cast("bigint"), NUMBER_BITS) + F.monotonically_increasing_id()
+    classes = written(whole.select("own", "rep", "n", number.alias("cls"), "keys", "sketch", "bins"))
     most = most_differing(least)
 
     def close(x: str, y: str) -> Column:
         """What a linked pair meets at its first common value: sizes, what can still be shared from there on, and bins."""
-        n, m = F.col(f"n{x}"), F.col(f"n{y}")
-        room = F.least(n - F.col(f"at{x}"), m - F.col(f"at{y}"))
-        return (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (room >= (n + m) * (least / (1 + least)) - 1e-9) & (F.bit_count(F.col(f"bins{x}").bitwiseXOR(F.col(f"bins{y}"))) <= most)
-
-    def named(t: DataFrame, end: str, *columns: str) -> DataFrame:
-        return t.select("v", *[F.col(c).alias(c + end) for c in columns])
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        room = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at"))
+        return (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (room >= (n + m) * (least / (1 + least)) - 1e-9) & (F.bit_count(F.col(f"{x}bins").bitwiseXOR(F.col(f"{y}bins"))) <= most)
 
     facts = ("cls", "n", "at", "bins")
-    ordered = (F.least("clsx", "clsy").alias("a"), F.greatest("clsx", "clsy").alias("b"))
-    counts = lists.groupBy("v").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
-    in_lists = written(lists.join(counts.select("v", "held"), "v"))
-    # a class whose values are also many others' stands in the middle of its group: edits make values rare
-    middle = in_lists.groupBy("cls").agg(F.sum("held").alias("degree"))
-    open_rows = written(in_lists.drop("held").join(middle, "cls").withColumn("root", F.col("cls")))
-    examined = links = roots = None
-    most_links = 0
-    for k in range(rounds):
-        # every class against one class of each of its lists: the most central, then others by another order each time
-        key = F.struct(-F.col("degree"), "cls") if not k else F.struct(F.xxhash64("cls", F.lit(k)), "cls")
-        hubs = open_rows.groupBy("v").agg(F.min_by(F.struct(*facts, "root"), key).alias("hub"))
-        spokes = named(open_rows, "y", *facts, "root").join(hubs.select("v", *[F.col(f"hub.{c}").alias(c + "x") for c in (*facts, "root")]), "v").where((F.col("rootx") != F.col("rooty")) & close("x", "y"))
-        links, roots, examined, new = tried(spokes.select(*ordered).distinct(), links, roots, examined, view, classes, words, least, sketch)
-        if new:
-            open_rows = still_open(open_rows, roots)
-        most_links = max(most_links, new)
-        if new <= worth * most_links:
+    links = Links(view, classes, words, least, sketch)
+    # every class against the most central class of each of its lists
+    lists = classes.select(F.posexplode("keys").alias("at", "v"), "cls", "n", "bins")
+    hubs = lists.groupBy("v").agg(F.count("*").alias("held"), F.min(F.struct(*facts)).alias("hub")).where("held > 1")
+    rows = written(lists.join(hubs.select("v", "hub"), "v"))
+    new = most_new = links.add(rows.where((F.col("hub.cls") < F.col("cls")) & close("hub.", "")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct())
+    for k in range(1, rounds + 1):
+        now = links.named(rows.select("v", *facts))
+        several = now.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
+        rows = written(now.join(several.select("v", "held"), "v"))
+        size = rows.agg(F.count("*").alias("rows"), (F.sum("held") / 2).alias("pairs")).first()
+        if k == rounds or new <= worth * most_new or (size["pairs"] or 0) <= crowded * size["rows"]:
             break
+        # against other classes, by another order each time
+        hubs = rows.groupBy("v").agg(F.min_by(F.struct(*facts, "root"), F.xxhash64("cls", F.lit(k))).alias("hub"))
+        spokes = rows.join(hubs, "v").where((F.col("hub.root") != F.col("root")) & close("hub.", ""))
+        new = links.add(spokes.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct())
+        most_new = max(most_new, new)
     # what is left: lists that hold several components, across components
-    x, y = (named(open_rows, s, *facts, "root") for s in "xy")
-    across = x.join(y, "v").where((F.col("clsx") < F.col("clsy")) & (F.col("rootx") != F.col("rooty")) & close("x", "y")).select(*ordered).distinct()
-    links, roots, examined, new = tried(across, links, roots, examined, view, classes, words, least, sketch)
+    side = lambda c: rows.select("v", F.struct(*facts, "root").alias(c))
+    across = side("x").join(side("y"), "v").where((F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & close("x.", "y."))
+    links.add(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
 
-    group = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least_id = group.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = group.join(least_id, "root").select("cls", "component_id", "root")
-    more = [c for c in view.columns if c not in ("doc_id", "text")]
-    return each.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", *(["root", *more] if more else []))
-
-
-def deduplicate(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns but the rows whose id is not the least of their component.
-
-    It goes by ids alone: rows that repeat an id, rows with a null id and rows without words stay.  one_of_each() leaves one row.
-    """
-    names = link(docs, words=words, least=least, id_col=id_col, text_col=text_col)
-    gone = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone__")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
-    return kept
+    ids = classes.select("own", "n", "cls", "rep")
+    # a component of several classes has a row for each in roots; of any other its own id is the least
+    several = written(links.roots.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls"))
+    least_id = several.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return links.named(ids).join(least_id, "root", "left").select("own", "n", "root", F.when(F.col("component_id").isNull() & F.col("rep").isNotNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,16 +341,22 @@ def one_of_each(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col:
 
     It is that of the least id (null last), then of the least digest of the text; of rows alike in both any one.
     """
-    digest = F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    view = doc_view(docs, id_col, text_col, F.unhex(digest).alias("digest"))
-    names = last_written(docs.sparkSession, lambda: linked(view, words, least, 32, 8, 48, 2_000_000, 4, 0.05))
-    rows = names.where("n_shingles > 0").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("many"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    chosen = rows.groupBy("root").agg(first.alias("w"))
-    marked = rows.join(chosen, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("digest") == F.col("w.digest")))
-    apart = written(marked.where("NOT stays OR many > 1").select(F.col("doc_id").alias("id__"), F.col("digest").alias("own__"), "stays"))
-    same = F.col(id_col).eqNullSafe(F.col("id__")) & (F.unhex(digest) == F.col("own__"))
-    once = docs.join(apart, same, "left_anti")
+    own, key, stays = unused(docs, "own", "key", "stays")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+    def make() -> DataFrame:
+        view = text_view(docs, id_col, text_col)
+        names = components(view, words, least).where("n > 0").select("own", "root")
+        rows = written(view.groupBy("own", "doc_id").agg(F.count("*").alias("many")).join(names, "own"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("w")
+        crowd = rows.groupBy("root").agg(first, F.sum("many").alias("all")).where(F.col("all") > 1).select("root", "w")
+        marked = rows.join(crowd, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("own") == F.col("w.own")))
+        return marked.where("NOT stays OR many > 1").select("doc_id", "own", "stays")
+
+    apart = last_written(docs.sparkSession, make).select(F.col("doc_id").alias(key), F.col("own").alias(own), F.col("stays").alias(stays))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (digest == F.col(own))
+    n = apart.count()
+    once = docs.join(beside(apart, n), same, "left_anti")
     # rows alike in id and text: one of them
-    again = docs.join(apart.where("stays"), same).dropDuplicates(["own__", "id__"]).select(*[F.col(c) for c in docs.columns])
+    again = docs.join(beside(apart.where(F.col(stays)), n), same).dropDuplicates([own, key]).select(*docs.columns)
     return once.unionByName(again)
