@@ -1,20 +1,30 @@
-"""License scan: Aho-Corasick over words, SPDX expressions by a shunting-yard parser.
+"""License scan: Aho-Corasick finds notice phrases and identifier tags, a shunting-yard parser evaluates the expressions.
 
-One automaton over the normalised words of a text finds notice phrases; it runs
-in one pass whatever the number of phrases.  Texts that hold an identifier tag
-are read once more: the expression after the tag is parsed into postfix form
-(WITH binds tightest, then AND, then OR), and every licence named in it is a label.
+One automaton over the normalised words of a text finds notice phrases, and
+whether it holds an identifier tag at all; it runs in one pass whatever the number
+of phrases.  In texts with a tag a second automaton over the bytes finds where
+each tag ends.  The expression there, up to the line's end or the next tag, is
+parsed into postfix form (WITH binds tightest, then AND, then OR).
+
+Evaluation goes by terms (`TERMS`, least strict first): what AND joins holds
+together, so its terms are the stricter ones and both sides' licences apply; of an
+OR the less strict side is taken, or both sides where they are as strict; an
+exception eases a copyleft licence by one step.  The licences that apply and the
+terms of the whole are labels.  Parsing and evaluation take time in proportion to
+the text.
 
 Base phrases are reported with their places; further phrases and expressions
 only add labels.
 
 Defined cases: null text counts as empty; no match gives empty labels, null
-places and score 0; repeated rows are reported once per row; a tag without a
-well-formed expression adds nothing; other columns are ignored.
+places and score 0; repeated rows are reported once per row; of a tag's text the
+longest well-formed expression at its start counts, and without one the tag adds
+nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import ahocorasick
@@ -44,84 +54,105 @@ MORE_PHRASES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
-TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+#: The tag before an expression, as bytes of a lower-cased text and as normalised words.
+TAG, TAG_WORDS = "spdx-license-identifier:", "spdx license identifier"
+TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
 BINDS = {"OR": 1, "AND": 2, "WITH": 3}
+#: Terms, least strict first.
+TERMS = ("permissive", "weak-copyleft", "copyleft", "restricted")
+#: Beginnings of licence identifiers by their terms; the longest that fits counts, and any other licence is restricted.
+STRICT = {
+    "permissive": ("0bsd", "afl", "apache", "artistic", "bsd", "bsl-1.0", "cc0", "cc-by", "ecl", "isc", "mit", "ncsa", "openssl", "php", "postgresql", "psf", "python", "unlicense", "upl", "w3c", "wtfpl", "x11", "zlib", "zpl"),
+    "weak-copyleft": ("cddl", "cecill-c", "epl", "eupl", "lgpl", "mpl", "ms-rl", "osl"),
+    "copyleft": ("agpl", "cc-by-sa", "cecill", "gfdl", "gpl", "sspl"),
+    "restricted": ("cc-by-nc", "cc-by-nd", "proprietary"),
+}
+BEGINNINGS = {b: TERMS.index(terms) for terms, many in STRICT.items() for b in many}
+
 
+@functools.lru_cache(maxsize=10_000)
+def strictness(name: str) -> int:
+    """The place in TERMS of a licence's terms."""
+    name = name.lower()
+    fits = max((b for b in BEGINNINGS if name.startswith(b)), key=len, default=None)
+    return len(TERMS) - 1 if fits is None else BEGINNINGS[fits]
 
-def postfix(text: str) -> list[str] | None:
-    """The longest well-formed licence expression at the start of `text`, in postfix form."""
+
+def postfix(text: str, start: int = 0, stop: int | None = None) -> list[str] | None:
+    """The longest well-formed licence expression at the start of text[start:stop], in postfix form."""
+    stop = len(text) if stop is None else stop
     tokens: list[str] = []
-    at = 0
-    while m := TOKEN.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t"))):
-        tokens.append(m.group())
-        at = m.end()
-    for n in range(len(tokens), 0, -1):
-        if (out := shunt(tokens[:n])) is not None:
-            return out
-    return None
-
-
-def shunt(tokens: list[str]) -> list[str] | None:
-    """Shunting-yard over one token list; None where it isn't an expression."""
+    whole = depth = 0
+    operand = True  # whether an operand must come next
+    while m := TOKEN.match(text, start, stop):
+        t, start = m.group(1), m.end()
+        if t in ("(", ")"):
+            if (t == "(") != operand or t == ")" and not depth:
+                break
+            depth += 1 if t == "(" else -1
+        elif (t.upper() in BINDS) == operand:
+            break
+        else:
+            operand = not operand
+        tokens.append(t)
+        if not operand and not depth:
+            whole = len(tokens)
+    return shunt(tokens[:whole]) if whole else None
+
+
+def shunt(tokens: list[str]) -> list[str]:
+    """Shunting-yard over the tokens of a well-formed expression."""
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # whether an operand must come next
     for t in tokens:
         up = t.upper()
         if up in BINDS:
-            if operand:
-                return None
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[up]:
                 out.append(stack.pop())
             stack.append(up)
-            operand = True
         elif t == "(":
-            if not operand:
-                return None
             stack.append(t)
         elif t == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
         else:
-            if not operand:
-                return None
             out.append(t)
-            operand = False
-    if operand or "(" in stack:
-        return None
     return out + stack[::-1]
 
 
-def evaluate(expression: list[str]) -> tuple[frozenset[frozenset[str]], set[str]]:
-    """(alternatives, names): a choice between sets of licences that hold together, and all names."""
-    stack: list[frozenset[frozenset[str]]] = []
-    names: set[str] = set()
+def evaluate(expression: list[str]) -> tuple[str, set[str]]:
+    """(terms, licences that apply) of an expression in postfix form."""
+    # a node: (strictness, name or None, left, right); both sides of a choice between equals stay
+    stack: list[tuple] = []
     for t in expression:
         if t not in BINDS:
-            stack.append(frozenset({frozenset({t.lower()})}))
+            stack.append((strictness(t), t.lower(), None, None))
             continue
         b, a = stack.pop(), stack.pop()
         if t == "OR":
-            stack.append(a | b)
+            stack.append((a[0], None, a, b) if a[0] == b[0] else min(a, b, key=lambda n: n[0]))
         elif t == "AND":
-            stack.append(frozenset(x | y for x in a for y in b))
-        else:  # an exception belongs to the licence before it
-            stack.append(frozenset(frozenset(f"{n} with {m}" for n in x for m in y) for x in a for y in b))
-    for x in stack[0]:
-        names |= x
-    return stack[0], names
+            stack.append((max(a[0], b[0]), None, a, b))
+        else:
+            eased = a[0] - 1 if TERMS[a[0]] in ("weak-copyleft", "copyleft") else a[0]
+            plain = a[1] is not None and b[1] is not None and " with " not in a[1]
+            stack.append((eased, f"{a[1]} with {b[1]}", None, None) if plain else (eased, None, a, None))
+    names, todo = set(), [stack[0]]
+    while todo:
+        _, name, a, b = todo.pop()
+        if name is not None:
+            names.add(name)
+        todo += [n for n in (a, b) if n is not None]
+    return TERMS[stack[0][0]], names
 
 
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE_PHRASES, more: dict[str, str] = MORE_PHRASES):
-        self.automaton = ahocorasick.Automaton()
-        phrases: dict[str, list[tuple[bool, str]]] = {}
+        self.automaton, self.tags = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.tags.add_word(TAG, True)
+        self.tags.make_automaton()
+        phrases: dict[str, list[tuple[bool | None, str]]] = {f" {TAG_WORDS} ": [(None, TAG)]}
         for of_base, table in ((True, base), (False, more)):
             for phrase, label in table.items():
                 phrases.setdefault(f" {phrase} ", []).append((of_base, label))
@@ -130,12 +161,12 @@ class Scanner:
         self.automaton.make_automaton()
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, str]], list[str], list[str]]:
-        """n_words, base places (word, label), further labels, labels of expressions."""
+        """n_words, base places (word, label), further labels, labels of expressions (licences that apply, and terms)."""
         words = alnum_words(text or b"")
         if not words:
             return 0, [], [], []
         line = f" {b' '.join(words).decode('latin-1')} "
-        places, more = [], set()
+        places, more, tagged = [], set(), False
         last, count = 0, 0
         for end, (size, what) in self.automaton.iter(line):
             start = end - size + 1
@@ -148,13 +179,22 @@ class Scanner:
                     else:
                         at = line.count(" ", 0, start)
                     places.append((at, label))
+                elif of_base is None:
+                    tagged = True
                 else:
                     more.add(label)
-        named: set[str] = set()
-        for m in TAG.finditer(text):
-            if expression := postfix(m.group(1).decode("utf-8", "replace")):
-                named |= evaluate(expression)[1]
-        return len(words), sorted(places), sorted(more), sorted(named)
+        return len(words), sorted(places), sorted(more), sorted(self.expressions(text)) if tagged else []
+
+    def expressions(self, text: bytes) -> set[str]:
+        """Labels of the expressions after all tags of a text."""
+        line = text.decode("latin-1")
+        ends = [end + 1 for end, _ in self.tags.iter(text.lower().decode("latin-1"))]
+        labels: set[str] = set()
+        for at, following in zip(ends, [*ends[1:], len(line) + len(TAG)], strict=True):
+            if expression := postfix(line, at, min(following - len(TAG), len(line))):
+                terms, names = evaluate(expression)
+                labels |= names | {f"terms-{terms}"}
+        return labels
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, more: dict[str, str] | None = None) -> DataFrame:
