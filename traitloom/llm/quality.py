@@ -7,15 +7,17 @@ are known for documents only, so gated attention learns which passages count:
     h = tanh(A x + a),  w = softmax over the bag of g . (tanh(V h) * sigmoid(U h)),
     score = sigmoid(c . sum(w h) + d)
 
-The network is trained in numpy on a bounded sample of labelled documents
-(`per_class` a class, `max_passages` evenly spaced passages of each); scoring
-reads every passage of every document in one pass without a shuffle.
+The network is trained in numpy on a bounded sample of labelled rows (`per_class`
+a class, texts of up to `row_bytes`), each with all its passages; scoring
+reads every passage of every document in one pass without a shuffle.  A passage's
+features depend on its own bytes only, and scores are given to nine places, so
+neither order nor partitioning changes them.
 
 Defined cases: null or empty text is a bag of one empty passage and is scored
 like any other; without labelled rows every score is 0.5; labels other than 0
 and 1, null ones and those without a document are left out; repeated label rows
-count as often as they occur; repeated documents get equal scores; other columns
-are ignored.
+count as often as they occur, as far as the sample goes; repeated documents get
+equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,10 +63,11 @@ def encode(passages: list[bytes]) -> np.ndarray:
     a = np.frombuffer(b" ".join(passages) + b" ", np.uint8)
     ends = np.cumsum(sizes + 1)
     owner = np.repeat(np.arange(n), sizes + 1)
-    c = CLASSES[a]
-    pair = (c[:-1] * N_CLASSES + c[1:]).astype(np.int64)
-    pair += owner[:-1] * (N_CLASSES * N_CLASSES)
-    counts = np.bincount(pair, minlength=n * N_CLASSES * N_CLASSES).reshape(n, -1)
+    c = CLASSES[a].astype(np.int64)
+    inside = np.ones(len(a), bool)
+    inside[ends - 1] = False  # the blank after each passage
+    pair = owner[:-1] * (N_CLASSES * N_CLASSES) + c[:-1] * N_CLASSES + c[1:]
+    counts = np.bincount(pair[inside[:-1] & inside[1:]], minlength=n * N_CLASSES * N_CLASSES).reshape(n, -1)
     out[:, : N_CLASSES * N_CLASSES] = np.sqrt(counts / np.maximum(sizes, 1)[:, None])
     s, e = spans_of(~SPACE[a])
     if len(s):
@@ -144,7 +147,7 @@ class AttentionBag:
         top = np.full(n, -np.inf)
         parts = []
         for i in range(0, len(passages), block):
-            h = np.tanh(encode(passages[i : i + block]) @ p["A"].T + p["a"])
+            h = np.tanh(encode(passages[i : i + block]).astype(np.float64) @ p["A"].T + p["a"])
             e = (np.tanh(h @ p["V"].T) * sigmoid(h @ p["U"].T)) @ p["g"]
             np.maximum.at(top, owner[i : i + block], e)
             parts.append((h, e))
@@ -156,36 +159,30 @@ class AttentionBag:
             np.add.at(total, of, w)
             np.add.at(z, of, w[:, None] * h)
             at += len(e)
-        return sigmoid(z @ p["c"] / total + p["d"])
+        return sigmoid(z @ p["c"] / total + p["d"]).round(9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, max_passages: int = 16, span: int = 512) -> AttentionBag | None:
-    """Trains on a bounded sample, chosen by a hash of the label rows; classes are weighted back to their own shares."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, row_bytes: int = 1 << 16, span: int = 512) -> AttentionBag | None:
+    """Trains on a bounded sample, chosen by a hash of the label rows; classes are weighted back to their own shares.
+
+    At most `per_class` label rows a class, twice as many documents in all, and texts of up to `row_bytes`.
+    """
     marked = labels.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("y")).where("doc IS NOT NULL AND y IN (0, 1)")
     counts = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     if not counts:
         return None
     parts = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(per_class) for y in counts]
     sample = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])  # at most 2 * per_class rows
-    held = doc_view(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("doc")).select("y", F.xxhash64("doc").alias("k"), "text")
-
-    def passages(batches):
-        for batch in batches:
-            for b in chunks(batch, "text"):
-                bags = []
-                for t in b.column("text").to_pylist():
-                    bag = cut([t or b""], span)[0]
-                    bags.append([bag[i] for i in np.unique(np.linspace(0, len(bag) - 1, min(len(bag), max_passages)).round().astype(int))])
-                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("k"), pa.array(bags, pa.list_(pa.binary()))], ["y", "k", "bag"])
-
-    rows = held.mapInArrow(passages, "y int, k bigint, bag array<binary>").limit(8 * per_class).collect()
+    view = doc_view(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(b""))).where(F.octet_length("text") <= row_bytes)
+    held = view.join(F.broadcast(sample), F.col("doc_id") == F.col("doc")).select("y", F.xxhash64("doc").alias("k"), "text")
+    rows = held.orderBy("k", "y", F.md5("text")).limit(2 * per_class).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.k, r.y, r.bag))
+    rows.sort(key=lambda r: (r.k, r.y, r.text))
     y = np.array([r.y for r in rows], np.float32)
     share = {k: n / sum(counts.values()) for k, n in counts.items()}
     weight = np.array([share[int(v)] / max(1e-9, float((y == v).mean())) for v in y], np.float32)
-    return AttentionBag(span=span).train([[bytes(p) for p in r.bag] for r in rows], y, weight)
+    return AttentionBag(span=span).train([cut([bytes(r.text)], span)[0] for r in rows], y, weight)
 
 
 def score(docs: DataFrame, model: AttentionBag | None, *, id_col: str = "doc_id", text_col: str = "text", more: tuple[Column, ...] = ()) -> DataFrame:
