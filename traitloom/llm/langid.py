@@ -7,9 +7,10 @@ unit with a gate f and a candidate n:
 
 A softmax over both directions' states labels every byte position; a document's
 probabilities are the mean over all of its positions.  The network is trained in
-numpy by backpropagation through time with Adam on a bounded sample of labelled
-passages (`per_language` documents a language), and then labels every byte of
-every document in one pass without a shuffle.
+numpy by backpropagation through time with Adam on all passages of a bounded
+sample of labelled rows (`per_language` texts of a language, of up to `row_bytes`
+each), whatever the number of languages, and then labels every byte of every
+document in one pass without a shuffle.
 
 Defined cases: null text, or text without a letter, is `und` with score 0;
 without any labelled row every text is `und`; repeated rows get the same label;
@@ -179,25 +180,25 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, span: int = 128, hidden: int = 8, max_languages: int = 200) -> ByteTagger | None:
-    """Trains on at most about `per_language` labelled documents a language, two passages of each.
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, row_bytes: int = 1 << 16, span: int = 128, hidden: int = 8) -> ByteTagger | None:
+    """Trains on all passages of about `per_language` distinct labelled texts of each language, of up to `row_bytes`.
 
-    The sample is chosen by a hash of the row, so it doesn't depend on partitioning.
+    The sample is chosen by a hash of the text, so it doesn't depend on partitioning.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    text = F.col(text_col).cast("binary")
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.octet_length(text).between(1, row_bytes)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
     key = F.xxhash64("lang", "text")
-    size = F.octet_length("text")
-    spot = lambda seed: F.substring("text", F.lit(1) + F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(size - span, F.lit(1))).cast("int"), F.lit(span))
     chosen = labelled.where((F.pmod(key, F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
-    rows = chosen.select("lang", key.alias("k"), F.explode(F.array(spot(1), spot(2))).alias("passage")).orderBy("k", "lang", "passage").limit(3 * per_language * len(counts)).collect()
-    rows = [r for r in rows if len(r.passage)]
-    if not rows:
-        return None
-    return ByteTagger(sorted(counts), hidden, span).train([bytes(r.passage) for r in rows], [r.lang for r in rows])
+    once = chosen.groupBy("lang", key.alias("k")).agg(F.first("text").alias("text"))
+    rows = sorted(once.collect(), key=lambda r: (r.k, r.lang, r.text))
+    passages = [(r.lang, bytes(r.text[i : i + span])) for r in rows for i in range(0, len(r.text), span)]
+    if not passages:
+        return ByteTagger(sorted(counts), hidden, span)
+    return ByteTagger(sorted(counts), hidden, span).train([p for _, p in passages], [x for x, _ in passages])
 
 
 def labelled_batches(batches: Iterator[pa.RecordBatch], model: ByteTagger | None, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
