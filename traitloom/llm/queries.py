@@ -91,8 +91,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("spans__", F.lit(0).cast("bigint"), lambda acc, x: acc + x["stop"] - x["start"])
-    return done.select("doc_id", F.octet_length("text__").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans__").cast("bigint").alias("n_spans"), F.sha2("kept__", 256).alias("kept_sha256"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["stop"] - x["start"])
+    return done.select("doc_id", F.octet_length("whole").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,16 +3,18 @@
 Every byte covered by a string of `size` bytes that also starts anywhere else is
 removed.  The work is narrowed before it is sorted:
 
-1. Texts that occur more than once and have `size` bytes are removed whole.
+1. Texts that occur more than once (by a 128-bit digest) and have `size` bytes are
+   removed whole; of each, one goes on.
 2. The starts of all strings of a text are cut into runs that share a
    content-defined anchor, so equal strings always meet under one anchor.
-   Anchors that occur once are done; runs whose whole context occurs twice are
-   removed whole.
+   Anchors that occur once are done; runs whose whole context occurs twice (by two
+   64-bit hashes, the anchor's and the context's) are removed whole.
 3. What is left, runs that agree in part with others of their anchor, is sorted.
    Contexts of an anchor are brought together and their suffixes sorted in two
    stages: those smaller than their successors directly, to `size` bytes; all
    others are induced from them by a scan of the first-byte buckets in
-   ascending order.  Common prefixes of neighbours then tell the repeated starts.
+   ascending order.  The common prefixes of neighbours, compared byte by byte, then
+   tell the repeated starts.
 
 With `words`, strings of that many words are found as well where they are shorter
 than `size`: these are few, so each is hashed and counted (a longer one is found
@@ -23,7 +25,7 @@ sends one hash per distinct start, which are counted across groups.
 
 Defined cases: null text counts as empty; texts shorter than `size` are kept;
 repeated rows are copies like any other; words are cut at ASCII blanks; matches never cross documents; an empty
-table gives no row; other columns are ignored (find) or passed through (clean).
+table gives no row; other columns, whatever their names, are ignored (find) or passed through (remove_repeats).
 """
 
 from __future__ import annotations
@@ -36,33 +38,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchor_runs
-from .common import SPANS, joined_texts, last_written, united, written
+from .common import SPANS, bound_batches, joined_texts, last_written, slices, united, unused, written
 from .hashing import RangeHash, mix
 
 
+#: Suffixes whose first bytes are held for comparison at a time.
+DIRECT = 100_000
+
+
+def big_endian(data: bytes, ahead: int) -> np.ndarray:
+    """The eight bytes from each position on as a number that orders like them; zeros follow the end."""
+    padded = np.frombuffer(data + bytes(ahead + 8), np.uint8)
+    return np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+
+
+def sorted_directly(data: bytes, first: np.ndarray, depth: int) -> np.ndarray:
+    """Starts (ascending) of some suffixes, ordered by their first `depth` bytes: by eight as a number, and ties of those by comparison, `DIRECT` at a time."""
+    if not len(first):
+        return first
+    key = big_endian(data, 8)[first].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    first, key = first[order], key[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    stop = np.append(start[1:], len(first))
+    start, stop = start[stop - start > 1], stop[stop - start > 1]
+    for i, j in slices(stop - start, DIRECT):
+        at = np.concatenate([np.arange(a, z) for a, z in zip(start[i:j].tolist(), stop[i:j].tolist(), strict=True)])
+        first[at] = sorted(first[at].tolist(), key=lambda x: data[x : x + depth])
+    return first
+
+
 def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     """Starts of all suffixes, ordered by their first `depth` bytes."""
     a = np.frombuffer(data, np.uint8)
     n = len(a)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     differs = np.append(a[1:] != a[:-1], True)
     # for each position, where its run of equal bytes ends
-    end = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
+    end = np.minimum.accumulate(np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
     after = np.append(a, np.uint8(0))[end + 1]
     small = (end < n - 1) & (a[end] < after)  # smaller than its successor
-    first = np.flatnonzero(small).tolist()
-    first.sort(key=lambda i: data[i : i + depth])
-    sorted_small = np.array(first, np.int64)
+    sorted_small = sorted_directly(data, np.flatnonzero(small).astype(np.int32), depth)
     counts = np.bincount(a, minlength=256)
     bucket_end = np.cumsum(counts)
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1  # the empty suffix
     of = a[sorted_small]
     n_small = np.bincount(of, minlength=256)
     small_start = bucket_end - n_small
     rank[sorted_small] = small_start[of] + np.arange(len(of)) - np.concatenate(([0], np.cumsum(n_small)))[of]
-    large = np.flatnonzero(~small)
+    large = np.flatnonzero(~small).astype(np.int32)
     large = large[np.argsort(a[large], kind="stable")]
     cut = np.concatenate(([0], np.cumsum(np.bincount(a[large], minlength=256))))
     for c in np.flatnonzero(np.diff(cut)).tolist():
@@ -74,35 +100,36 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
             now = now[np.argsort(rank[now + 1], kind="stable")]
             rank[now] = at + np.arange(len(now))
             at += len(now)
-    order = np.empty(n, np.int64)
-    order[rank[:n]] = np.arange(n)
+    order = np.empty(n, np.int32)
+    order[rank[:n]] = np.arange(n, dtype=np.int32)
     return order
 
 
+def shared_prefixes(data: bytes, order: np.ndarray, size: int) -> np.ndarray:
+    """Whether the common prefix of each suffix (of at least `size` bytes) and the next one has `size` bytes: a hash rules out most, then bytes are compared."""
+    h = RangeHash(np.frombuffer(data, np.uint8)).of(order, order + size)
+    pair = np.flatnonzero(h[1:] == h[:-1])
+    del h
+    out = np.zeros(max(0, len(order) - 1), bool)
+    out[pair] = [data[i : i + size] == data[j : j + size] for i, j in zip(order[pair].tolist(), order[pair + 1].tolist(), strict=True)]
+    return out
+
+
 def repeated_starts(data: bytes, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether the string of `size` bytes at each start (ascending, distinct) also stands at another; and whether an equal one comes earlier in order."""
     order = two_stage_order(data, size)
     wanted = np.zeros(len(data) + 1, bool)
     wanted[starts] = True
     order = order[wanted[order]]
-    # common prefixes of neighbours, up to `size`: a hash rules out most, then words are compared
-    h = RangeHash(np.frombuffer(data, np.uint8)).of(order, order + size)
-    pair = np.flatnonzero(h[1:] == h[:-1])
-    padded = np.frombuffer(data + b"\0" * 8, np.uint8)
-    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    same = np.ones(len(pair), bool)
-    for k in [*range(0, size - 7, 8), size - 8]:
-        same &= words[order[pair] + k] == words[order[pair + 1] + k]
-    pair = pair[same]
-    hit = np.zeros(len(order), bool)
-    hit[pair] = hit[pair + 1] = True
-    later = np.zeros(len(order), bool)
-    later[pair + 1] = True
+    same = shared_prefixes(data, order, size)
+    hit = np.append(same, False)
+    hit[1:] |= same
+    later = np.concatenate((np.zeros(min(1, len(order)), bool), same))
     back = np.argsort(order)
     return hit[back], later[back]
 
 
-ANCHORS = "digest binary, first bigint, last bigint, anchor bigint, context bigint, place bigint"
+ANCHORS = "digest binary, first int, last int, anchor bigint, context bigint"
 
 
 def runs_of(batches, size: int):
@@ -111,19 +138,17 @@ def runs_of(batches, size: int):
         if not len(buffer):
             continue
         hashes = RangeHash(np.frombuffer(buffer, np.uint8))
-        digests = b.column("digest").to_pylist()
         who, found = [], []
         for k, t in enumerate(texts):
             if len(t) >= size:
                 o = int(starts[k])
                 a, h, s, e = anchor_runs(hashes, o, o + len(t), size)
-                context = hashes.of(s, e + size) ^ mix((a - s).astype(np.uint64) + (h << np.uint64(1)))
-                place = mix((s - o).astype(np.uint64) ^ np.uint64(int.from_bytes(digests[k][:8], "big")))
-                found.append((s - o, e - o, h.view(np.int64), context.view(np.int64), place.view(np.int64)))
+                context = hashes.of(s, e + size) ^ mix((a - s).astype(np.uint64))
+                found.append(((s - o).astype(np.int32), (e - o).astype(np.int32), h.view(np.int64), context.view(np.int64)))
                 who.append(np.full(len(a), k))
         if found:
             at = np.concatenate(who)
-            columns = [np.concatenate([f[i] for f in found]) for i in range(5)]
+            columns = [np.concatenate([f[i] for f in found]) for i in range(4)]
             yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(at)), *map(pa.array, columns)], [c.split()[0] for c in ANCHORS.split(", ")])
 
 
@@ -198,63 +223,68 @@ def sort_contexts(batches, size: int, limit: int = 1 << 20):
         yield from flush()
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, words: int | None = None, group_contexts: int = 6000) -> tuple[DataFrame, DataFrame]:
-    """(documents with their columns, `text__` as bytes and `digest__`; spans per digest: digest, spans).  A text without a row in spans is kept."""
+def find(docs: DataFrame, *, text_col: str = "text", size: int = 400, words: int | None = None, group_contexts: int = 6000) -> DataFrame:
+    """digest (of the text's bytes) and spans of every text that loses anything."""
     if size < GRAM + 8:
         raise ValueError(f"size must be at least {GRAM + 8}")
-    whole = docs.withColumn("text__", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn("digest__", F.unhex(F.md5("text__")))
-    view = whole.select(F.col(id_col).alias("doc_id"), F.col("digest__").alias("digest"), F.col("text__").alias("text"))
-    return whole, last_written(docs.sparkSession, lambda: repeats(view, size, words, group_contexts))
+    bound_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    view = docs.select(text.alias("text")).select(F.unhex(F.md5("text")).alias("digest"), "text")
+    return last_written(docs.sparkSession, lambda: repeats(view, size, words, group_contexts))
 
 
 def repeats(every: DataFrame, size: int, words: int | None, group_contexts: int) -> DataFrame:
-    """digest, spans of every text of `every` (doc_id, digest, text) that loses anything."""
+    """digest, spans of every text of `every` (digest, text) that loses anything."""
+    place = F.xxhash64("digest", "first")
     view = every.where(F.octet_length("text") >= size)
-    copies = view.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
-    copied = written(copies.where("n > 1").select("digest", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop")).alias("span"), "doc_id"))
-    anchors = written(view.select("digest", "text").mapInArrow(lambda b: runs_of(b, size), ANCHORS))
+    copies = view.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
+    copied = written(copies.where("n > 1").select("digest", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop")).alias("span")))
+    anchors = written(view.mapInArrow(lambda b: runs_of(b, size), ANCHORS))
     # per context, then per anchor: whether it stands in more than one place
-    contexts = anchors.groupBy("context").agg(F.min("anchor").alias("anchor"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    contexts = anchors.groupBy("anchor", "context").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     groups = contexts.groupBy("anchor").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("partial"), F.count("*").alias("n")).where("l < h")
-    known = contexts.join(groups, "anchor").select("context", "lo", (F.col("lo") < F.col("hi")).alias("full"), "partial", F.ceil(F.col("n") / group_contexts).cast("int").alias("parts"))
-    flagged = written(anchors.join(known, "context"))
-    full = flagged.where("full").select("digest", F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
-    detail = flagged.where("partial = 1 AND (NOT full OR place = lo)").dropDuplicates(["digest", "first"])
-    wanted = detail.groupBy("digest").agg(F.collect_list(F.struct("first", "last", "anchor", F.pmod("place", F.col("parts")).cast("int").alias("part"), "parts")).alias("runs"))
-    one = wanted.join(copied.select("digest", "doc_id"), "digest", "left")
-    # one row of each copied text; the pair of keys spreads copies over tasks
-    texts = view.join(one.select("digest", "runs", F.col("doc_id").alias("only")), "digest").where("only IS NULL OR only <=> doc_id")
-    cut = texts.select("digest", F.explode("runs").alias("r"), "text").select("r.anchor", "r.part", "r.parts", "digest", "r.first", F.substring("text", F.col("r.first").cast("int") + 1, (F.col("r.last") - F.col("r.first") + size).cast("int")).alias("context"))
+    known = contexts.join(groups, "anchor").select("anchor", "context", "lo", (F.col("lo") < F.col("hi")).alias("full"), "partial", F.ceil(F.col("n") / group_contexts).cast("int").alias("parts"))
+    flagged = written(anchors.join(known, ["anchor", "context"]))
+    full = flagged.where("full").select("digest", F.col("first").cast("bigint").alias("start"), (F.col("last") + size).cast("bigint").alias("stop"))
+    # one place of each context is sorted; a text that occurs more than once has the same place in all its copies
+    detail = flagged.where(F.col("partial") == 1).where(~F.col("full") | (place == F.col("lo"))).dropDuplicates(["digest", "first"])
+    wanted = detail.groupBy("digest").agg(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "anchor", F.pmod(place, F.col("parts")).cast("int").alias("part"), "parts")).alias("runs"))
+    cut = view.join(wanted, "digest").select("digest", F.explode("runs").alias("r"), "text")
+    cut = cut.select("r.anchor", "r.part", "r.parts", "digest", "r.first", F.substring("text", F.col("r.first").cast("int") + 1, (F.col("r.last") - F.col("r.first") + size).cast("int")).alias("context"))
     sorted_groups = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     found = written(sorted_groups.mapInArrow(lambda b: sort_contexts(b, size), FOUND))
     across = found.where("hash IS NOT NULL")
     shared = across.groupBy("hash").agg(F.min("place").alias("l"), F.max("place").alias("h")).where("l < h").select("hash")
     spans = full.unionByName(found.where("hash IS NULL").select("digest", "start", "stop")).unionByName(across.join(shared, "hash", "left_semi").select("digest", "start", "stop"))
     if words:
-        short = written(every.select("digest", "text").mapInArrow(lambda b: short_windows(b, words, size), SHORT))
+        short = written(every.mapInArrow(lambda b: short_windows(b, words, size), SHORT))
         twice = short.groupBy("hash").count().where("count > 1").select("hash")
         spans = spans.unionByName(short.join(twice, "hash", "left_semi").select("digest", "start", "stop"))
     partly = spans.join(copied, "digest", "left_anti").groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
     return partly.select("digest", united("s").alias("spans")).unionByName(copied.select("digest", F.array("span").alias("spans")))
 
 
-def inward(spans: str) -> Column:
+def inward(text: Column, spans: Column) -> Column:
     """Ranges that cut no UTF-8 character: a character partly inside stays whole outside."""
-    inside = lambda at: F.hex(F.substring("text__", at.cast("int") + 1, F.lit(1))).between("80", "BF")
+    inside = lambda at: F.hex(F.substring(text, at.cast("int") + 1, F.lit(1))).between("80", "BF")
     ahead = lambda at: at + F.when(~inside(at), 0).when(~inside(at + 1), 1).when(~inside(at + 2), 2).otherwise(3)
     back = lambda at: at - F.when(~inside(at), 0).when(~inside(at - 1), 1).when(~inside(at - 2), 2).otherwise(3)
     return F.transform(spans, lambda x: F.struct(ahead(x["start"]).alias("start"), back(x["stop"]).alias("stop")))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, words: int | None = None, whole_characters: bool = False) -> DataFrame:
-    """The documents with all their columns, and: spans__ (removed byte ranges), kept__ (what is left, as bytes)."""
-    whole, spans = find(docs, id_col=id_col, text_col=text_col, size=size, words=words)
-    out = whole.join(spans.withColumnRenamed("digest", "digest__").withColumnRenamed("spans", "spans__"), "digest__", "left")
-    if whole_characters:
-        out = out.withColumn("spans__", inward("spans__"))
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", size: int = 400, words: int | None = None, whole_characters: bool = False) -> DataFrame:
+    """The documents with all their columns, and as the last three: the text's bytes, the removed ranges, and what is left as bytes.
+
+    These are named whole, spans and kept, lengthened where a column has that name.
+    """
+    whole, spans, kept, digest = unused(docs, "whole", "spans", "kept", "digest")
+    found = find(docs, text_col=text_col, size=size, words=words).select(F.col("digest").alias(digest), F.col("spans").alias(spans))
+    out = docs.withColumn(whole, F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn(digest, F.unhex(F.md5(whole))).join(found, digest, "left")
+    ranges = inward(F.col(whole), F.col(spans)) if whole_characters else F.col(spans)
     none = F.expr(f"cast(array() as {SPANS})")
-    ends = F.array_append(F.transform("spans__", lambda x: x["start"]), F.octet_length("text__").cast("bigint"))
-    begins = F.array_prepend(F.transform("spans__", lambda x: x["stop"]), F.lit(0).cast("bigint"))
+    out = out.withColumn(spans, F.when(F.col(spans).isNull(), none).otherwise(ranges))
+    ends = F.array_append(F.transform(spans, lambda x: x["start"]), F.octet_length(whole).cast("bigint"))
+    begins = F.array_prepend(F.transform(spans, lambda x: x["stop"]), F.lit(0).cast("bigint"))
     pieces = F.zip_with(begins, ends, lambda a, z: F.struct(a.cast("int").alias("a"), (z - a).cast("int").alias("n")))
-    kept = F.when(F.col("spans__").isNull(), F.col("text__")).otherwise(F.aggregate(pieces, F.lit(b""), lambda acc, p: F.when(p["n"] > 0, F.concat(acc, F.substring("text__", p["a"] + 1, p["n"]))).otherwise(acc)))
-    return out.withColumn("kept__", kept).withColumn("spans__", F.coalesce("spans__", none)).select(*[F.col(c) for c in docs.columns], "text__", "spans__", "kept__")
+    left = F.aggregate(pieces, F.lit(b""), lambda acc, p: F.when(p["n"] > 0, F.concat(acc, F.substring(whole, p["a"] + 1, p["n"]))).otherwise(acc))
+    return out.withColumn(kept, F.when(F.size(spans) == 0, F.col(whole)).otherwise(left)).select(*docs.columns, whole, spans, kept)
