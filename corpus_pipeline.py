@@ -13,8 +13,8 @@ from traitloom.llm import decontam, langid, near_dup, packing, suffix_dedup
 from traitloom.llm.common import read, written
 from traitloom.llm.queries import tokenizer_path
 
-#: Bytes of a string whose repeats are removed whatever its words: longer than a stock line.
-PASSAGE_BYTES = 240
+#: Bytes of a string whose repeats are removed whatever its words.
+PASSAGE_BYTES = 200
 #: Words of a string whose repeats are removed even where it has fewer bytes: any passage of over 50 words holds one.
 PASSAGE_WORDS = 51
 
@@ -32,13 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that stand more than once are cut out; documents of which nothing is left go."""
     done = suffix_dedup.remove_repeats(docs, size=PASSAGE_BYTES, words=PASSAGE_WORDS, whole_characters=True)
-    text = F.when(F.size("spans__") > 0, F.col("kept__").cast("string")).otherwise(F.col("text"))
-    left = done.where((F.size("spans__") == 0) | (F.octet_length(F.trim(F.col("kept__").cast("string"))) > 0))
-    out = left.withColumn("text", text)
+    _, spans, kept = done.columns[-3:]
+    cut, rest = F.size(spans) > 0, F.col(kept).cast("string")
+    out = done.where(~cut | (F.octet_length(F.trim(rest)) > 0)).withColumn("text", F.when(cut, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans__") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(c) for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
