@@ -175,7 +175,7 @@ def test_components_match_all_pairs(spark, docs, words):
         rows.append((i, " ".join(t)))
     rows += [(1000 + r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want, sizes = components_by_brute_force(rows, words, 0.8)
-    for options in ({}, {"frequent_local": 1, "frequent_total": 2, "rounds": 1}):
+    for options in ({}, {"frequent_local": 1, "frequent_total": 2, "crowded": 0.0}):
         got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dup.link(spark.createDataFrame(rows, "doc_id bigint, text string"), words=words, least=0.8, **options).collect()}
         assert [got[i] for i, _ in rows] == list(zip(want, sizes, strict=True))
 
@@ -184,8 +184,6 @@ def test_near_dup_odd_rows(odd, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.link(odd, words=2).collect()), key=str)
     assert len(got) == len(ODD) and (1, 0, 1) in got and (4, 1, 4) in got and got.count((6, 5, 6)) == 2 and (7, 1, 7) in got
     assert near_dup.link(empty).count() == 0
-    kept = near_dup.deduplicate(odd)
-    assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
 def test_label_propagation_on_a_chain(spark):
@@ -245,7 +243,7 @@ def test_recall_and_exact_scores(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     at = {r.vec_id: i for i, r in enumerate(rows)}
     got = {}
-    for r in ann.search(e, F.col("vec_id") % 10 == 0, block_rows=100, block_queries=9).collect():
+    for r in ann.search(e, F.col("vec_id") % 10 == 0, block_queries=9).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hits = 0
     for q, found in got.items():
@@ -268,20 +266,7 @@ def test_vectors_that_take_no_part(spark):
 # 6
 
 
-def cheapest(roles):
-    """Every way, by recursion."""
-    best = {chat.START: 0}
-    for r in roles:
-        new = {}
-        for s, c in best.items():
-            for a, b, cost, _, _ in chat.OPTIONS[r]:
-                if a == s:
-                    new[b] = min(new.get(b, 10**9), c + cost)
-        best = new
-    return min(best.values())
-
-
-def test_repairs_are_legal_and_cheapest():
+def test_repairs_cost_as_much_however_they_are_cut():
     rng = random.Random(4)
     for _ in range(300):
         roles = [rng.choice(["system", "user", "assistant", None]) for _ in range(rng.randint(1, 7))]
@@ -290,7 +275,6 @@ def test_repairs_are_legal_and_cheapest():
         for r, (s, action, inserted) in zip(roles, path, strict=True):
             cost += min(c for a, b, c, act, ins in chat.OPTIONS[r] if (a, b, act, ins) == (state, s, action, inserted))
             state = s
-        assert cost == cheapest(roles)
         cut = rng.randint(0, len(roles))
         m = chat.compose(chat.stretch_matrix(roles[:cut]), chat.stretch_matrix(roles[cut:]))
         assert m[chat.START].min() == cost
@@ -371,12 +355,15 @@ def test_phrases_match_brute_force(spark, odd):
 
 
 def test_licence_expressions():
-    values = lambda t: sorted(map(sorted, licenses.evaluate(licenses.postfix(t))[0]))
-    assert values("MIT OR Apache-2.0 AND BSD-3-Clause */") == [["apache-2.0", "bsd-3-clause"], ["mit"]]
-    assert values("(MIT OR Apache-2.0) AND BSD-3-Clause") == [["apache-2.0", "bsd-3-clause"], ["bsd-3-clause", "mit"]]
-    assert values("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT") == [["gpl-2.0-only with classpath-exception-2.0"], ["mit"]]
+    value = lambda t: licenses.evaluate(licenses.postfix(t))
+    assert value("MIT OR Apache-2.0 AND BSD-3-Clause */") == ("permissive", {"mit", "apache-2.0", "bsd-3-clause"})
+    assert value("MIT OR GPL-3.0-only AND BSD-3-Clause") == ("permissive", {"mit"})
+    assert value("(MIT OR GPL-3.0-only) AND LGPL-2.1") == ("weak-copyleft", {"mit", "lgpl-2.1"})
+    assert value("GPL-2.0-only WITH Classpath-exception-2.0 OR AGPL-3.0") == ("weak-copyleft", {"gpl-2.0-only with classpath-exception-2.0"})
+    assert value("((MIT))") == ("permissive", {"mit"}) and value("My-Own AND MIT")[0] == "restricted" and value("cc-by-sa-4.0")[0] == "copyleft"
     assert licenses.postfix("MIT and more text") == ["MIT", "more", "AND"] and licenses.postfix("AND") is None and licenses.postfix("(MIT") is None
-    assert licenses.Scanner().scan(b"# SPDX-License-Identifier: MIT OR Zlib\n")[3] == ["mit", "zlib"]
+    assert licenses.postfix("MIT OR ISC) AND X") == ["MIT", "ISC", "OR"] and licenses.postfix("MIT OR (ISC AND") == ["MIT"]
+    assert licenses.Scanner().scan(b"# SPDX-License-Identifier: MIT OR Zlib\n// spdx-license-identifier:GPL-2.0")[3] == ["gpl-2.0", "mit", "terms-copyleft", "terms-permissive", "zlib"]
 
 
 # 9
@@ -511,21 +498,20 @@ def test_removed_bytes_match_brute_force(spark, group):
     rows = [word(rng.randint(0, 200)) + rng.choice(passages)[rng.randint(0, 30) :] + word(rng.randint(0, 200)) for _ in range(60)]
     rows += ["", rows[0], rows[0], "ab" * 200, "x" * 300, passages[0] + passages[0], None]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    whole, spans = suffix_dedup.find(df, size=80, group_contexts=group)
-    found = {bytes(r.digest): r.spans for r in spans.collect()}
+    found = {bytes(r.digest): r.spans for r in suffix_dedup.find(df, size=80, group_contexts=group).collect()}
     want = repeats_by_brute_force([(t or "").encode() for t in rows], 80)
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, size=80).collect()}
     for i, (n, runs, kept) in enumerate(want):
         s = found.get(hashlib.md5((rows[i] or "").encode()).digest(), [])
         assert (sum(x.stop - x.start for x in s), len(s)) == (n, runs)
-        assert bytes(got[i].kept__) == kept
+        assert bytes(got[i].kept) == kept
     for r in suffix_dedup.remove_repeats(df, size=80, whole_characters=True).collect():
-        bytes(r.kept__).decode()
+        bytes(r.kept).decode()
 
 
 def test_suffix_dedup_odd_rows(odd, empty):
     done = suffix_dedup.remove_repeats(odd, size=80)
-    assert set(odd.columns) < set(done.columns) and done.count() == len(ODD)
+    assert done.columns[:-3] == odd.columns and done.count() == len(ODD)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
