@@ -39,9 +39,3 @@ def test_matches_sql(spark, con, name):
     want = con.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
-
-
-def test_entry_point_survives_without_the_optional_subpackage():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def long_form(df: DataFrame, *keys: str) -> DataFrame:
     """One row a component: keys, dim, value."""
@@ -99,21 +101,110 @@ def principal_components(df: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def fitted(df: DataFrame, algorithm: str = "kmeans", n: int = 3, seed: int = 1, reg: float = 1e-5):
-    """(rows with label and probability, model) of kmeans or gaussian_mixture."""
-    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """(rows with label and probability, model) of kmeans, bisecting_kmeans or gaussian_mixture.
+
+    Ward's linkage and density clustering need all pairs: see kernels.cluster_groups.
+    """
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
+    from pyspark.ml.functions import array_to_vector
 
-    v = df.withColumn("v__", array_to_vector("features"))
-    if algorithm == "kmeans":
-        model = KMeans(k=n, seed=seed, featuresCol="v__", predictionCol="label").fit(v)
-        return model.transform(v).drop("v__"), model
-    if algorithm == "agglomerative":
-        model = BisectingKMeans(k=n, seed=seed, featuresCol="v__", predictionCol="label").fit(v)
-        return model.transform(v).drop("v__"), model
     if algorithm == "gaussian_mixture":
-        model = GaussianMixture(k=n, seed=seed, featuresCol="v__", predictionCol="label", probabilityCol="p__", tol=reg).fit(v)
-        return model.transform(v).withColumn("probability", vector_to_array("p__")).drop("v__", "p__"), model
-    raise ValueError(f"unknown algorithm: {algorithm}")
+        model = Mixture.fit(df, n, seed, reg)
+        return model.transform(df), model
+    kinds = {"kmeans": KMeans, "bisecting_kmeans": BisectingKMeans}
+    if algorithm not in kinds:
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    v = df.withColumn("v__", array_to_vector("features"))
+    model = kinds[algorithm](k=n, seed=seed, featuresCol="v__", predictionCol="label").fit(v)
+    return model.transform(v).drop("v__"), model
+
+
+class Mixture:
+    """A mixture of normal distributions with full covariances, `reg` added to their diagonals.
+
+    Every round of expectation and maximisation is one pass: a task sums its rows'
+    weights, weighted values and products, and the driver adds those few numbers up.
+    """
+
+    def __init__(self, weights, means, covariances):
+        import numpy as np
+
+        self.weights, self.means, self.covariances = (np.asarray(x, float) for x in (weights, means, covariances))
+        self.log_likelihood = -math.inf
+
+    def logs(self, x):
+        """(rows, parts) log densities times weights."""
+        import numpy as np
+
+        out = []
+        for w, m, c in zip(self.weights, self.means, self.covariances, strict=True):
+            root = np.linalg.cholesky(c)
+            z = np.linalg.solve(root, (x - m).T)
+            out.append(math.log(max(w, 1e-300)) - 0.5 * (z**2).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * math.log(2 * math.pi))
+        return np.stack(out, axis=1)
+
+    @staticmethod
+    def shares(logs):
+        """(each row's log density, its probabilities)."""
+        import numpy as np
+
+        top = logs.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+        return total, np.exp(logs - total[:, None])
+
+    @classmethod
+    def fit(cls, df: DataFrame, n: int, seed: int = 1, reg: float = 1e-5, tol: float = 1e-3, rounds: int = 100) -> Mixture:
+        """From k-means groups, until the mean log density gains less than `tol`."""
+        import numpy as np
+        import pyarrow as pa
+
+        dims = df.select(F.size("features").alias("d")).first().d
+        rows = written(fitted(df.select("features"), "kmeans", n, seed)[0].select("features", F.col("label").cast("int").alias("label")))
+        model, last = None, -math.inf
+        for _ in range(rounds + 1):
+
+            def sums(batches, model=model):
+                total, ll = np.zeros((n, 1 + dims + dims * dims)), 0.0
+                for b in batches:
+                    x = np.array(b.column("features").to_pylist(), float).reshape(b.num_rows, dims)
+                    if model is None:
+                        p = np.eye(n)[b.column("label").to_numpy()]
+                    else:
+                        own, p = cls.shares(model.logs(x))
+                        ll += float(own.sum())
+                    total += np.concatenate((p.sum(0)[:, None], p.T @ x, np.einsum("ij,ik,il->jkl", p, x, x).reshape(n, -1)), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([ll])], ["total", "ll"])
+
+            parts = rows.mapInArrow(sums, "total binary, ll double").collect()  # one row a task
+            total = sum(np.frombuffer(r.total).reshape(n, -1) for r in parts)
+            many = np.maximum(total[:, 0], 1e-300)
+            means = total[:, 1 : 1 + dims] / many[:, None]
+            products = total[:, 1 + dims :].reshape(n, dims, dims) / many[:, None, None]
+            now = sum(r.ll for r in parts)
+            if model is not None:
+                model.log_likelihood = now
+                if (now - last) / many.sum() < tol:
+                    return model
+                last = now
+            model = cls(many / many.sum(), means, products - means[:, :, None] * means[:, None] + reg * np.eye(dims))
+        return model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows with label and probability."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+        kept = [c for c in df.columns if c not in ("label", "probability")]
+        fields = [*(df.schema[c] for c in kept), StructField("label", IntegerType()), StructField("probability", ArrayType(DoubleType()))]
+
+        def run(batches):
+            for b in batches:
+                x = np.array(b.column("features").to_pylist(), float).reshape(b.num_rows, self.means.shape[1])
+                p = self.shares(self.logs(x))[1]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p.argmax(1).astype(np.int32)), pa.array(p.tolist(), pa.list_(pa.float64()))], [*kept, "label", "probability"])
+
+        return df.select(*kept).mapInArrow(run, StructType(fields))
 
 
 def calinski_harabasz(df: DataFrame) -> DataFrame:
@@ -138,43 +229,33 @@ def davies_bouldin(df: DataFrame) -> DataFrame:
     return r.groupBy("labela").agg(F.max("r").alias("r")).agg(F.avg("r").alias("db"))
 
 
-def silhouette(df: DataFrame, key: str, max_rows: int = 50_000) -> DataFrame:
-    """key, label, silhouette (Euclidean, exact).
+def silhouette(df: DataFrame, key: str, block: int = 8192) -> DataFrame:
+    """key, label, silhouette (Euclidean, exact) of any number of rows.
 
-    Every row against every row is the definition.  One side is broadcast, so its
-    row count is checked first; above `max_rows` collapse equal rows or sample.
+    Every row against every row is the definition: each block of rows adds its sums of distances a label.
     """
     import numpy as np
-    import pyarrow as pa
-
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"an exact silhouette of {n} rows needs {n * n} distances; the limit is {max_rows} rows")
-    table = df.select("features", F.col("label").cast("long").alias("label")).toArrow()
-    x = np.array(table.column("features").to_pylist(), float).reshape(n, -1)
-    names, of = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)
-    shared = df.sparkSession.sparkContext.broadcast((x, of, names))
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches):
-        x, of, names = shared.value
-        counts = np.bincount(of, minlength=len(names))
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                q = np.array(part.column("features").to_pylist(), float)
-                own = np.searchsorted(names, np.array(part.column("label").to_pylist()))
-                d = np.sqrt(np.stack([((x - r) ** 2).sum(1) for r in q]))
-                sums = np.stack([d[:, of == k].sum(1) for k in range(len(names))], axis=1)
-                rows = np.arange(len(q))
-                a = sums[rows, own] / np.maximum(counts[own] - 1, 1)
-                other = sums / counts
-                other[rows, own] = np.inf
-                nearest = other.min(axis=1)
-                s = np.where(counts[own] == 1, 0.0, (nearest - a) / np.maximum(np.maximum(a, nearest), 1e-300))
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("label"), pa.array(s)], [key, "label", "silhouette"])
-
-    return df.select(key, "features", F.col("label").cast("long").alias("label")).mapInArrow(run, f"{key} {kind}, label bigint, silhouette double")
+
+    from .blocks import against_all, distances
+
+    rows = df.select(key, "features", F.col("label").cast("long").alias("label"))
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a cluster
+    names = np.array(sorted(counts))
+    many = np.array([counts[x] for x in names.tolist()])
+
+    def add(states, own, others):
+        d = distances(own["features"], others["features"])
+        of = np.searchsorted(names, others["label"])
+        return np.array(states) + np.stack([np.bincount(of, r, len(names)) for r in d])
+
+    sums = against_all(rows, key, ["features", "label"], "sums__", lambda n: np.zeros((n, len(names))), add, block)
+    table = F.array(*[F.struct(F.lit(int(x)).cast("long").alias("label"), F.lit(int(c)).cast("double").alias("n")) for x, c in zip(names, many, strict=True)])
+    each = sums.withColumn("s__", F.zip_with("sums__", table, lambda s, t: F.struct(s.alias("s"), t["label"].alias("label"), t["n"].alias("n"))))
+    inside = F.element_at(F.filter("s__", lambda e: e["label"] == F.col("label")), 1)
+    other = F.array_min(F.transform(F.filter("s__", lambda e: e["label"] != F.col("label")), lambda e: e["s"] / e["n"]))
+    each = each.withColumn("a__", inside["s"] / F.greatest(inside["n"] - 1, F.lit(1.0))).withColumn("b__", other).withColumn("n__", inside["n"])
+    value = F.when(F.col("n__") == 1, 0.0).otherwise((F.col("b__") - F.col("a__")) / F.greatest("a__", "b__", F.lit(1e-300)))
+    return each.select(key, "label", value.alias("silhouette"))
 
 
 def aic(log_likelihood: float, n: int, dims: int) -> float:
@@ -197,7 +278,7 @@ def find_n(df: DataFrame, low: int, high: int, metric: str = "ch", algorithm: st
     for n in range(low, min(high, df.count() - 1) + 1):
         out, model = fitted(df, "gaussian_mixture" if metric == "aic" else algorithm, n, seed)
         if metric == "aic":
-            rows.append((n, aic(model.summary.logLikelihood, n, len(model.gaussiansDF.first().mean))))
+            rows.append((n, aic(model.log_likelihood, n, model.means.shape[1])))
         else:
             out = out.persist()
             rows.append((n, calinski_harabasz(out).first().ch, davies_bouldin(out).first().db))
@@ -287,3 +368,14 @@ def knee(distances: list[float]) -> float:
         return distances[-1] if distances else 0.0
     slope = (distances[-1] - distances[0]) / (n - 1)
     return distances[max(range(n), key=lambda i: abs(distances[0] + slope * i - distances[i]))]
+
+
+def knee_radius(df: DataFrame, key: str, k: int = 4) -> DataFrame:
+    """One row: `eps`, the k-distance at the point of the ascending curve that lies farthest from its chord."""
+    from .blocks import k_distances
+    from .metrics import numbered
+
+    curve = numbered(k_distances(df, key, k).where("distance IS NOT NULL"), ["distance", key], "i__")
+    ends = curve.agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n"))
+    off = curve.join(F.broadcast(ends)).withColumn("off", F.abs(F.col("lo") + F.try_divide((F.col("hi") - F.col("lo")) * (F.col("i__") - 1), F.col("n") - 1) - F.col("distance")))  # one row of ends
+    return off.agg(F.min(F.struct((-F.col("off")).alias("off"), F.col("i__"), F.col("distance"))).alias("m")).select(F.col("m.distance").alias("eps"))

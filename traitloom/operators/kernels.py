@@ -52,6 +52,25 @@ def facts_of(df: DataFrame, kernel: Callable[[np.ndarray], dict[str, float | Non
     return df.select("img_id", "y", "x", *columns).groupBy("img_id").applyInPandas(run, f"img_id {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
+def of_image_rows(images: DataFrame, kernel: Callable[[np.ndarray], dict[str, float | None]], names: list[str]) -> DataFrame:
+    """img_id and one row of numbers for each image row (img_id, width, height, n_channels, data as BGR): no pixel is shuffled.
+
+    The kernel gets (h, w, channels) as RGB, with alpha if there is any, or gray.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for w, h, c, data in zip(*(batch.column(n).to_pylist() for n in ("width", "height", "n_channels", "data")), strict=True):
+                a = np.frombuffer(data, np.uint8, h * w * c).reshape(h, w, c).astype(float)
+                rows.append(kernel(a if c == 1 else a[..., [2, 1, 0, *range(3, c)]]))
+            yield pa.RecordBatch.from_arrays([batch.column("img_id"), *(pa.array([None if r.get(n) is None else float(r[n]) for r in rows], pa.float64()) for n in names)], ["img_id", *names])
+
+    kind = images.schema["img_id"].dataType.simpleString()
+    return images.select("img_id", "width", "height", "n_channels", "data").mapInArrow(run, f"img_id {kind}, " + ", ".join(f"{n} double" for n in names))
+
+
 # --- shapes --------------------------------------------------------------------------------------------------------
 
 
@@ -78,11 +97,11 @@ def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     return np.where(mask, np.searchsorted(roots, label[:n].reshape(h, w)) + 1, 0)
 
 
-def hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull of (x, y) points, by a monotone chain."""
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of (x, y) points, in order."""
     p = sorted(map(tuple, np.unique(points, axis=0).tolist()))
     if len(p) < 3:
-        return 0.0
+        return np.array(p, float).reshape(-1, 2)
     cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
     def chain(points):
@@ -93,7 +112,14 @@ def hull_area(points: np.ndarray) -> float:
             out.append(q)
         return out[:-1]
 
-    ring = np.array(chain(p) + chain(p[::-1]), float)
+    return np.array(chain(p) + chain(p[::-1]), float)
+
+
+def hull_area(points: np.ndarray) -> float:
+    """Area of the convex hull of (x, y) points."""
+    ring = hull(points)
+    if len(ring) < 3:
+        return 0.0
     return abs(np.dot(ring[:, 0], np.roll(ring[:, 1], -1)) - np.dot(ring[:, 1], np.roll(ring[:, 0], -1))) / 2
 
 
@@ -183,16 +209,17 @@ def axis_angle(mask: np.ndarray) -> float:
     return 0.5 * np.arctan2(2 * ((x - x.mean()) * (y - y.mean())).mean(), x.var() - y.var()) if len(y) > 1 else 0.0
 
 
-def line_metrics(gray: np.ndarray) -> dict[str, float | None]:
-    """Of the long axis: share of pixels mirrored by it, balance of its sides, darkness along it, and skinniness."""
-    g = gray[..., 0]
+LINE_METRICS = ("overlap_sym", "npix_sym", "avg_darkness", "skinniness")
+
+
+def metrics_of_line(g: np.ndarray, angle: float, cy: float, cx: float) -> dict[str, float | None]:
+    """Of a line through a point: share of pixels mirrored by it, balance of its sides, darkness along it, and skinniness."""
     mask = g > 3
     if mask.sum() < 2:
         return {}
     y, x = np.nonzero(mask)
-    t, cy, cx = axis_angle(mask), y.mean(), x.mean()
-    d, along = -(x - cx) * np.sin(t) + (y - cy) * np.cos(t), (x - cx) * np.cos(t) + (y - cy) * np.sin(t)
-    my, mx = np.rint(y - 2 * d * np.cos(t)).astype(int), np.rint(x + 2 * d * np.sin(t)).astype(int)
+    d, along = -(x - cx) * np.sin(angle) + (y - cy) * np.cos(angle), (x - cx) * np.cos(angle) + (y - cy) * np.sin(angle)
+    my, mx = np.rint(y - 2 * d * np.cos(angle)).astype(int), np.rint(x + 2 * d * np.sin(angle)).astype(int)
     ok = (my >= 0) & (mx >= 0) & (my < mask.shape[0]) & (mx < mask.shape[1])
     left, right = (d < 0).sum(), (d > 0).sum()
     on = np.abs(d) <= 0.5
@@ -201,13 +228,80 @@ def line_metrics(gray: np.ndarray) -> dict[str, float | None]:
     return {**out, "mean_all": float(np.mean(known))}
 
 
-def upright(gray: np.ndarray) -> np.ndarray:
-    """Turned so that the long axis is vertical, cropped to what is set, heavy half on top."""
+def line_metrics(gray: np.ndarray) -> dict[str, float | None]:
+    """metrics_of_line() of the long axis."""
+    g = gray[..., 0]
+    y, x = np.nonzero(g > 3)
+    return metrics_of_line(g, axis_angle(g > 3), y.mean(), x.mean()) if len(y) > 1 else {}
+
+
+def skeleton(mask: np.ndarray) -> np.ndarray:
+    """What openings of ever smaller erosions lose: the middle lines of a mask."""
+
+    def plus(m, f):
+        p = np.pad(m, 1)
+        return f.reduce([m, p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+
+    out = np.zeros_like(mask)
+    while mask.any():
+        small = plus(mask, np.logical_and)
+        out |= mask & ~plus(small, np.logical_or)
+        mask = small
+    return out
+
+
+def candidate_lines(mask: np.ndarray, strategy: str = "skeleton_hough", most: int = 40, votes: int = 25) -> list[tuple[float, float, float]]:
+    """(angle, y, x of a point) of lines that a blob may be symmetric about.
+
+    ellipse: its moment axes; polygon: chords of its hull's corners whose points at 25, 50 and 75 % lie in it, longest
+    first; skeleton_hough: lines with at least `votes` pixels of its skeleton, most first, 30 directions, a pixel apart.
+    """
+    y, x = np.nonzero(mask)
+    if len(y) < 2:
+        return []
+    if strategy == "ellipse":
+        t = axis_angle(mask)
+        return [(t, y.mean(), x.mean()), (t + np.pi / 2, y.mean(), x.mean())]
+    if strategy == "polygon":
+        corners, found = hull(np.stack([x, y], axis=1)), []
+        for i in range(len(corners)):
+            for j in range(i + 1, len(corners)):
+                at = np.rint([corners[i] * (1 - t) + corners[j] * t for t in (0.25, 0.5, 0.75)]).astype(int)
+                if mask[at[:, 1], at[:, 0]].all():
+                    dx, dy = corners[j] - corners[i]
+                    found.append((-np.hypot(dx, dy), float(np.arctan2(dy, dx)), *corners[i][::-1].tolist()))
+        return [f[1:] for f in sorted(found)[:most]]
+    if strategy != "skeleton_hough":
+        raise ValueError(f"unknown strategy: {strategy}")
+    sy, sx = np.nonzero(skeleton(mask))
+    found = []
+    for t in np.arange(30) * np.pi / 30:
+        rho = np.rint(-sx * np.sin(t) + sy * np.cos(t)).astype(int)
+        for r, n in zip(*np.unique(rho, return_counts=True), strict=True):
+            if n >= votes:
+                found.append((-int(n), t, r * np.cos(t), -r * np.sin(t)))
+    return [f[1:] for f in sorted(found)[:most]]
+
+
+def upright_by_lines(gray: np.ndarray, strategy: str = "skeleton_hough", metric: str = "overlap_sym") -> np.ndarray:
+    """Turned so that the best of the candidate lines is vertical (the long axis without any), cropped, heavy half on top."""
     g = gray[..., 0]
     mask = g > 0
     if not mask.any():
         return gray
-    turned = rotated(g, np.pi / 2 - axis_angle(mask))
+    scored = [(metrics_of_line(g, *line).get(metric), line) for line in candidate_lines(mask, strategy)]
+    known = [(v, line) for v, line in scored if v is not None]
+    return turned_up(g, max(known, key=lambda f: f[0])[1][0] if known else axis_angle(mask))
+
+
+def upright(gray: np.ndarray) -> np.ndarray:
+    """Turned so that the long axis is vertical, cropped to what is set, heavy half on top."""
+    g = gray[..., 0]
+    return turned_up(g, axis_angle(g > 0)) if (g > 0).any() else gray
+
+
+def turned_up(g: np.ndarray, angle: float) -> np.ndarray:
+    turned = rotated(g, np.pi / 2 - angle)
     y, x = np.nonzero(turned > 0)
     turned = turned[y.min() : y.max() + 1, x.min() : x.max() + 1]
     half = len(turned) // 2
@@ -389,13 +483,61 @@ def patches(lab: np.ndarray, closeness: float = 20.0, least: int = 5) -> np.ndar
     return out
 
 
-def patch_table(df: DataFrame, columns: tuple[str, str, str] = ("l", "a", "b"), closeness: float = 20.0) -> DataFrame:
-    """img_id, patch_id, mean colour, centre and size of each grown region."""
+def part_patches(labels: np.ndarray, least: int = 5) -> np.ndarray:
+    """Numbers of the parts, connected over 4 neighbours, of an image of labels (below 0: none); parts under `least` pixels are 0."""
+    out, n = np.zeros(labels.shape, int), 0
+    for value in np.unique(labels[labels >= 0]):
+        parts = components(labels == value, diagonal=False)
+        for k in range(1, parts.max() + 1):
+            if (parts == k).sum() >= least:
+                n += 1
+                out[parts == k] = n
+    return out
+
+
+def longest_run(mask: np.ndarray, angles: int = 36) -> tuple[float, float, float, float, float]:
+    """(length, x0, y0, x1, y1) of the longest straight run of set pixels, over lines of `angles` directions a pixel apart."""
+    h, w = mask.shape
+    best = (0.0, 0.0, 0.0, 0.0, 0.0)
+    reach = int(np.ceil(np.hypot(h, w)))
+    t = np.arange(-reach, reach + 1)
+    for a in np.arange(angles) * np.pi / angles:
+        dx, dy = np.cos(a), np.sin(a)
+        for off in t:
+            x = np.round(w / 2 + off * -dy + t * dx).astype(int)
+            y = np.round(h / 2 + off * dx + t * dy).astype(int)
+            fine = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+            line = np.zeros(len(t), bool)
+            line[fine] = mask[y[fine], x[fine]]
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], line.astype(int), [0]))))
+            for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                length = float(np.hypot(x[j - 1] - x[i], y[j - 1] - y[i])) + 1
+                if length > best[0] + 1e-9:
+                    best = (length, float(x[i]), float(y[i]), float(x[j - 1]), float(y[j - 1]))
+    return best
+
+
+def run_facts(a: np.ndarray) -> dict[str, float | None]:
+    return dict(zip(("length", "x0", "y0", "x1", "y1"), longest_run(a[..., 0] > 0), strict=True))
+
+
+def edge_patches(gray: np.ndarray, size: int = 11, below: float = 2.0, least: int = 20) -> np.ndarray:
+    """Numbers of the areas between dark lines: parts of pixels that are not under their surroundings' mean by `below`; small ones are 0."""
+    half = size // 2
+    p = np.pad(gray, half, mode="edge")
+    sums = np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    h, w = gray.shape
+    mean = (sums[size : size + h, size : size + w] - sums[:h, size : size + w] - sums[size : size + h, :w] + sums[:h, :w]) / size**2
+    return part_patches(np.where((gray > 0) & (gray >= mean - below), 0, -1), least)
+
+
+def patch_table(df: DataFrame, columns: tuple[str, str, str] = ("l", "a", "b"), closeness: float = 20.0, how: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """img_id, patch_id, mean colour, centre and size of each grown region, or of those that `how` numbers."""
     kind = df.schema["img_id"].dataType.simpleString()
 
     def run(pdf):
         a = grid(pdf, list(columns))
-        labels = patches(a, closeness)
+        labels = how(a) if how else patches(a, closeness)
         y, x = np.nonzero(labels)
         t = pd.DataFrame({"patch_id": labels[y, x], "c1": a[y, x, 0], "c2": a[y, x, 1], "c3": a[y, x, 2], "cy": y, "cx": x, "n": 1})
         out = t.groupby("patch_id").agg({"c1": "mean", "c2": "mean", "c3": "mean", "cx": "mean", "cy": "mean", "n": "sum"}).reset_index()
@@ -413,27 +555,53 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0))
 
 
+def row_distances(x: np.ndarray, i: int) -> np.ndarray:
+    return np.sqrt(((x - x[i]) ** 2).sum(1))
+
+
 def agglomerative(x: np.ndarray, n: int) -> np.ndarray:
-    """Ward's linkage by merging the cheapest pair."""
-    centers, sizes, of = [r.copy() for r in x], [1] * len(x), np.arange(len(x))
-    alive = list(range(len(x)))
-    while len(alive) > n:
-        c, k = np.array([centers[i] for i in alive]), np.array([sizes[i] for i in alive], float)
-        cost = distances(c) ** 2 * (k[:, None] * k[None] / (k[:, None] + k[None]))
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        a, b = alive[min(i, j)], alive[max(i, j)]
+    """Ward's linkage by chains of nearest neighbours, without a matrix of all pairs: labels in the order of their first rows."""
+    m = len(x)
+    centers, sizes, alive = x.astype(float).copy(), np.ones(m), np.ones(m, bool)
+    merges, chain = [], []
+    for _ in range(m - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            i = chain[-1]
+            cost = ((centers - centers[i]) ** 2).sum(1) * (sizes * sizes[i] / (sizes + sizes[i]))
+            cost[~alive] = np.inf
+            cost[i] = np.inf
+            j = int(cost.argmin())
+            if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        a, b = min(i, j), max(i, j)
+        merges.append((cost[j], a, b))
         centers[a] = (centers[a] * sizes[a] + centers[b] * sizes[b]) / (sizes[a] + sizes[b])
         sizes[a] += sizes[b]
-        of[of == b] = a
-        alive.remove(b)
-    return np.unique(of, return_inverse=True)[1]
+        alive[b] = False
+    # the cheapest merges, as many as leave n groups; a merge of Ward's linkage never costs less than those inside it
+    of = np.arange(m)
+
+    def top(i):
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    for _, a, b in sorted(merges, key=lambda t: t[0])[: max(0, m - n)]:
+        a, b = top(a), top(b)
+        of[max(a, b)] = min(a, b)
+    return np.unique([top(i) for i in range(m)], return_inverse=True)[1]
 
 
 def dbscan(x: np.ndarray, eps: float = 0.5, least: int | None = None) -> np.ndarray:
-    """Labels 0.. of density-connected groups, -1 for noise."""
-    near = distances(x) <= eps
-    core = near.sum(1) >= (x.shape[1] + 1 if least is None else least)
+    """Labels 0.. of density-connected groups, -1 for noise; neighbours are looked up a row at a time."""
+    least = x.shape[1] + 1 if least is None else least
+    core = np.array([(row_distances(x, i) <= eps).sum() >= least for i in range(len(x))], bool)
     label = np.full(len(x), -1)
     n = 0
     for i in np.flatnonzero(core):
@@ -442,7 +610,7 @@ def dbscan(x: np.ndarray, eps: float = 0.5, least: int | None = None) -> np.ndar
         todo = [i]
         label[i] = n
         while todo:
-            for j in np.flatnonzero(near[todo.pop()] & (label < 0)):
+            for j in np.flatnonzero((row_distances(x, todo.pop()) <= eps) & (label < 0)):
                 label[j] = n
                 if core[j]:
                     todo.append(j)
@@ -450,6 +618,124 @@ def dbscan(x: np.ndarray, eps: float = 0.5, least: int | None = None) -> np.ndar
     return label
 
 
+def hdbscan(x: np.ndarray, least_size: int = 5, least: int | None = None) -> np.ndarray:
+    """Labels 0.. of the most stable density clusters, -1 for noise: the spanning tree of mutual reachability, condensed at `least_size`, by excess of mass."""
+    m, least = len(x), least_size if least is None else least
+    if m < 2 * least_size:
+        return np.full(m, -1)
+    core = np.array([np.partition(row_distances(x, i), min(least, m) - 1)[min(least, m) - 1] for i in range(m)])
+    # Prim's tree, a row of reachabilities at a time
+    reach, parent, inside = np.full(m, np.inf), np.zeros(m, int), np.zeros(m, bool)
+    edges, i = [], 0
+    for _ in range(m - 1):
+        inside[i] = True
+        d = np.maximum(np.maximum(row_distances(x, i), core), core[i])
+        closer = ~inside & (d < reach)
+        reach[closer], parent[closer] = d[closer], i
+        j = int(np.where(inside, np.inf, reach).argmin())
+        edges.append((reach[j], parent[j], j))
+        i = j
+    # the dendrogram: node m + k joins two nodes at a distance
+    of, size, sides, height = list(range(m)), [1] * m, {}, {}
+
+    def top(i):
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    for k, (d, a, b) in enumerate(sorted(edges, key=lambda e: e[0])):
+        a, b, new = top(a), top(b), m + k
+        of[a] = of[b] = new
+        of.append(new)
+        size.append(size[a] + size[b])
+        sides[new], height[new] = (a, b), d
+
+    def leaves(node):
+        todo, out = [node], []
+        while todo:
+            i = todo.pop()
+            if i < m:
+                out.append(i)
+            else:
+                todo += sides[i]
+        return out
+
+    # condensed clusters: node, density of birth, stability, children
+    root = m + len(edges) - 1
+    clusters = [{"node": root, "birth": 0.0, "mass": 0.0, "children": [], "points": []}]
+    todo = [(root, 0)]
+    while todo:
+        node, c = todo.pop()
+        if node < m:
+            continue
+        density = 1 / max(height[node], 1e-12)
+        big = [s for s in sides[node] if size[s] >= least_size]
+        for s in sides[node]:
+            if len(big) == 2:
+                clusters[c]["mass"] += size[s] * (density - clusters[c]["birth"])
+                clusters[c]["children"].append(len(clusters))
+                clusters.append({"node": s, "birth": density, "mass": 0.0, "children": [], "points": []})
+                todo.append((s, len(clusters) - 1))
+            elif s in big:
+                todo.append((s, c))
+            else:
+                clusters[c]["mass"] += size[s] * (density - clusters[c]["birth"])
+    chosen = [False] * len(clusters)
+    for c in range(len(clusters) - 1, 0, -1):
+        below = sum(clusters[k]["mass"] for k in clusters[c]["children"])
+        if clusters[c]["children"] and below > clusters[c]["mass"]:
+            clusters[c]["mass"] = below
+        else:
+            chosen[c] = True
+            todo = list(clusters[c]["children"])
+            while todo:
+                k = todo.pop()
+                chosen[k] = False
+                todo += clusters[k]["children"]
+    label, n = np.full(m, -1), 0
+    for c in sorted((c for c in range(len(clusters)) if chosen[c]), key=lambda c: min(leaves(clusters[c]["node"]))):
+        label[leaves(clusters[c]["node"])] = n
+        n += 1
+    return label
+
+
+def tsne(x: np.ndarray, perplexity: float = 30.0, rounds: int = 400, rate: float = 100.0, seed: int = 1) -> np.ndarray:
+    """A two-dimensional embedding that keeps neighbours, by gradient steps on all pairs of a small group."""
+    m = len(x)
+    if m < 3:
+        return np.zeros((m, 2))
+    d = distances(x) ** 2
+    target, beta = np.log(min(perplexity, (m - 1) / 3)), np.ones(m)
+    p = np.zeros((m, m))
+    for i in range(m):
+        lo, hi = 0.0, np.inf
+        own = np.delete(d[i], i)
+        for _ in range(60):
+            w = np.exp(-(own - own.min()) * beta[i])
+            w /= w.sum()
+            entropy = -(w * np.log(np.maximum(w, 1e-300))).sum()
+            if entropy > target:
+                lo = beta[i]
+                beta[i] = beta[i] * 2 if hi == np.inf else (lo + hi) / 2
+            else:
+                hi = beta[i]
+                beta[i] = (lo + hi) / 2
+        p[i, np.arange(m) != i] = w
+    p = np.maximum((p + p.T) / (2 * m), 1e-12)
+    y = np.random.default_rng(seed).normal(0, 1e-4, (m, 2))
+    move = np.zeros_like(y)
+    for k in range(rounds):
+        q = 1 / (1 + distances(y) ** 2)
+        np.fill_diagonal(q, 0)
+        w = ((4.0 if k < 100 else 1.0) * p - q / q.sum()) * q
+        gradient = 4 * (w.sum(1)[:, None] * y - w @ y)
+        move = (0.5 if k < 100 else 0.8) * move - rate * gradient
+        y = y + move
+        y -= y.mean(0)
+    return y
+
+
 def affinity(x: np.ndarray, rounds: int = 200, damping: float = 0.7) -> np.ndarray:
     """Affinity propagation with the median similarity as preference."""
     n = len(x)
@@ -495,18 +781,35 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
     return 2 ** (-depth / trees / max(c(n), 1e-9))
 
 
-def cluster_groups(df: DataFrame, group: str, key: str, algorithm: str, max_rows: int = 20_000, **options) -> DataFrame:
-    """group, key, label: a kernel on each group's `features`.  Group sizes are checked first, as a group is one task's."""
+#: Bytes of arrays that a kernel may hold for one group.
+GROUP_BYTES = 4 << 30
+#: Arrays of all pairs that a kernel holds at a time.
+PAIRS_HELD = {"agglomerative": 0, "dbscan": 0, "hdbscan": 0, "affinity": 8, "tsne": 6}
+
+
+def largest_group(rows: int, dims: int, algorithm: str) -> bool:
+    """Whether a group of so many rows fits GROUP_BYTES."""
+    return 8 * (PAIRS_HELD[algorithm] * rows * rows + 8 * rows * max(1, dims)) <= GROUP_BYTES
+
+
+def cluster_groups(df: DataFrame, group: str, key: str, algorithm: str, **options) -> DataFrame:
+    """group, key, label (or the place x, y for tsne): a kernel on each group's `features`.
+
+    A group is one task's.  Linkage and density clustering hold no pairs, so a group may have any number of rows that fit
+    GROUP_BYTES; affinity propagation and t-SNE hold all pairs by definition.  Sizes are checked first.
+    """
     from pyspark.sql import functions as F
 
-    most = df.groupBy(group).count().agg(F.max("count").alias("m")).first().m or 0
-    if most > max_rows:
-        raise ValueError(f"a group has {most} rows; above {max_rows} use cluster.fitted")
-    kernel = {"agglomerative": agglomerative, "dbscan": dbscan, "affinity": affinity}[algorithm]
+    size = df.groupBy(group).agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    if not largest_group(size.n or 0, size.d or 0, algorithm):
+        raise ValueError(f"a group of {size.n} rows needs over {GROUP_BYTES} bytes for {algorithm}; use cluster.fitted, or agglomerative, dbscan or hdbscan")
+    kernel = {"agglomerative": agglomerative, "dbscan": dbscan, "hdbscan": hdbscan, "affinity": affinity, "tsne": tsne}[algorithm]
     g, k = (df.schema[c].dataType.simpleString() for c in (group, key))
 
     def run(pdf):
         pdf = pdf.sort_values(key)
-        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "label": kernel(np.stack(pdf["features"].to_numpy()), **options)})
+        out = kernel(np.stack(pdf["features"].to_numpy()), **options)
+        found = {"label": out} if out.ndim == 1 else {"x": out[:, 0], "y": out[:, 1]}
+        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), **found})
 
-    return df.select(group, key, "features").groupBy(group).applyInPandas(run, f"{group} {g}, {key} {k}, label int")
+    return df.select(group, key, "features").groupBy(group).applyInPandas(run, f"{group} {g}, {key} {k}, " + ("x double, y double" if algorithm == "tsne" else "label int"))

@@ -128,23 +128,23 @@ def heavy_side_up(gray: DataFrame) -> DataFrame:
 
 
 def equalized(gray: DataFrame) -> DataFrame:
-    """Histogram equalisation: levels are mapped by their cumulative counts."""
+    """Histogram equalisation: levels are mapped by their cumulative counts, one array of new levels an image."""
     w = Window.partitionBy("img_id")
     n = gray.groupBy("img_id", "gray").agg(F.count("*").alias("n"))
     n = n.withColumn("cdf", F.sum("n").over(w.orderBy("gray").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
     n = n.withColumn("first", F.min("cdf").over(w))
-    lut = n.select("img_id", "gray", F.when(F.col("total") == F.col("first"), F.col("gray")).otherwise(F.bround((F.col("cdf") - F.col("first")) * 255.0 / (F.col("total") - F.col("first")))).cast("long").alias("new"))
-    return gray.join(lut, ["img_id", "gray"]).select("img_id", "y", "x", F.col("new").alias("gray"))
+    new = F.when(F.col("total") == F.col("first"), F.col("gray")).otherwise(F.bround((F.col("cdf") - F.col("first")) * 255.0 / (F.col("total") - F.col("first")))).cast("long")
+    lut = n.groupBy("img_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("gray"), new.alias("new")))).alias("levels"))
+    return gray.join(lut, "img_id").select("img_id", "y", "x", F.col("levels")[F.col("gray")].alias("gray"))
 
 
 def neighbour_extreme(gray: DataFrame, size: int, lowest: bool) -> DataFrame:
-    """Erosion (lowest) or dilation with a square kernel: each pixel is sent to its neighbours and combined before the shuffle."""
+    """Erosion (lowest) or dilation with a square kernel: along the lines, then along the columns."""
     half = size // 2
-    shift = F.explode(F.sequence(F.lit(-half).cast("long"), F.lit(size - 1 - half).cast("long")))
-    sent = gray.select("img_id", "y", "x", "gray", shift.alias("dy")).select("img_id", (F.col("y") + F.col("dy")).alias("y"), "x", "gray", shift.alias("dx"))
-    sent = sent.select("img_id", "y", (F.col("x") + F.col("dx")).alias("x"), "gray")
-    best = sent.groupBy("img_id", "y", "x").agg((F.min if lowest else F.max)("gray").alias("gray"))
-    return best.join(gray.select("img_id", "y", "x"), ["img_id", "y", "x"], "left_semi")
+    best = F.min if lowest else F.max
+    lines = Window.partitionBy("img_id", "y").orderBy("x").rangeBetween(half - size + 1, half)
+    columns = Window.partitionBy("img_id", "x").orderBy("y").rangeBetween(half - size + 1, half)
+    return gray.select("img_id", "y", "x", best("gray").over(lines).alias("gray")).select("img_id", "y", "x", best("gray").over(columns).alias("gray"))
 
 
 def reconstructed(canvas: DataFrame, paint: DataFrame, background: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
@@ -196,3 +196,70 @@ def best_masks_for_boxes(masks: DataFrame, prompts: DataFrame) -> DataFrame:
     each = both.select(F.col("p.img_id").alias("img_id"), F.col("p.box_id").alias("prompt_id"), F.col("m.box_id").alias("mask_id"), box_iou(s("p"), s("m")).alias("iou"))
     best = each.groupBy("img_id", "prompt_id").agg(F.min(F.struct((-F.col("iou")).alias("v"), "mask_id")).alias("b"))
     return best.select("img_id", "prompt_id", "b.mask_id", (-F.col("b.v")).alias("iou"))
+
+
+def boxes_kept(boxes: DataFrame, most: float) -> DataFrame:
+    """Greedy suppression: boxes (img_id, box_id, score, x0, y0, x1, y1) from the highest score on; one that overlaps a kept box of its image by over `most` goes.
+
+    Ties of scores go to the smaller id.  An image's boxes meet in one row, as a detector gives a bounded number.
+    """
+    corners = ("x0", "y0", "x1", "y1")
+    one = F.struct((-F.col("score")).alias("k"), "box_id", *[F.col(c).cast("double").alias(c) for c in corners])
+    in_order = boxes.groupBy("img_id").agg(F.array_sort(F.collect_list(one)).alias("b"))
+    none = F.filter("b", lambda x: F.lit(False))
+    kept = F.aggregate("b", none, lambda acc, x: F.when(F.exists(acc, lambda y: box_iou(x, y) > most), acc).otherwise(F.array_append(acc, x)))
+    return in_order.select("img_id", F.explode(kept).alias("x")).select("img_id", "x.box_id")
+
+
+def masks_not_inside(masks: DataFrame, most: float = 0.8) -> DataFrame:
+    """img_id, mask_id of masks (img_id, mask_id, y, x) of which no larger mask of the image covers over `most`."""
+    area = masks.groupBy("img_id", "mask_id").agg(F.count("*").alias("area"))
+    a, b = (masks.select("img_id", "y", "x", F.col("mask_id").alias(c)) for c in "ab")
+    both = a.join(b, ["img_id", "y", "x"]).where("a <> b").groupBy("img_id", "a", "b").agg(F.count("*").alias("n"))
+    sizes = lambda c: area.select("img_id", F.col("mask_id").alias(c), F.col("area").alias(f"area_{c}"))
+    inside = both.join(sizes("a"), ["img_id", "a"]).join(sizes("b"), ["img_id", "b"]).where((F.col("area_b") < F.col("area_a")) & (F.col("n") / F.col("area_b") > most))
+    return area.select("img_id", "mask_id").join(inside.select("img_id", F.col("b").alias("mask_id")), ["img_id", "mask_id"], "left_anti")
+
+
+def masks_for_boxes(masks: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Distinct img_id, mask_id: for each prompt box (img_id, box_id, x0, y0, x1, y1; ends excluded) the mask of largest overlap with it; ties go to the smaller id."""
+    area = masks.groupBy("img_id", "mask_id").agg(F.count("*").alias("area"))
+    hit = masks.join(prompts, "img_id").where("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+    inside = hit.groupBy("img_id", "box_id", "mask_id").agg(F.count("*").alias("n"))
+    every = prompts.join(area, "img_id").join(inside, ["img_id", "box_id", "mask_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    iou = F.col("n") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) + F.col("area") - F.col("n"))
+    best = every.groupBy("img_id", "box_id").agg(F.min(F.struct((-iou).alias("v"), "mask_id")).alias("m"))
+    return best.select("img_id", "m.mask_id").distinct()
+
+
+def mask_by_points(masks: DataFrame, points: DataFrame) -> DataFrame:
+    """img_id, y, x of the mask that labelled points (img_id, ordinal, y, x, label 1 or 0) ask for.
+
+    Masks that hold a point are painted (label 1) or wiped (0) from the largest on, so each pixel follows its smallest
+    such mask; of several points in a mask the last counts, and of masks of one size the later id.
+    """
+    hit = masks.join(points.select("img_id", "y", "x", "ordinal", "label"), ["img_id", "y", "x"])
+    asked = hit.groupBy("img_id", "mask_id").agg(F.max_by("label", "ordinal").alias("label"))
+    area = masks.groupBy("img_id", "mask_id").agg(F.count("*").alias("area"))
+    each = masks.join(asked.join(area, ["img_id", "mask_id"]), ["img_id", "mask_id"])
+    last = each.groupBy("img_id", "y", "x").agg(F.min(F.struct("area", (-F.col("mask_id")).alias("k"), "label")).alias("m"))
+    return last.where("m.label = 1").select("img_id", "y", "x")
+
+
+def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon (an array of (x, y) structs in order), its edges included."""
+    after = F.concat(F.slice(polygon, F.lit(2), F.size(polygon)), F.slice(polygon, F.lit(1), F.lit(1)))
+    sides = F.zip_with(polygon, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    ax, ay, bx, by = (lambda s, i=i, c=c: s[i][c].cast("double") for i in "ab" for c in "xy")
+    cross = lambda s: (bx(s) - ax(s)) * (y - ay(s)) - (by(s) - ay(s)) * (x - ax(s))
+    on = F.exists(sides, lambda s: (cross(s) == 0) & x.between(F.least(ax(s), bx(s)), F.greatest(ax(s), bx(s))) & y.between(F.least(ay(s), by(s)), F.greatest(ay(s), by(s))))
+    crossed = F.size(F.filter(sides, lambda s: ((ay(s) > y) != (by(s) > y)) & ((cross(s) > 0) == (by(s) > ay(s)))))
+    return on | (crossed % 2 == 1)
+
+
+def lines_inside(lines: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Lines (img_id, line_id, x0, y0, x1, y1) whose points at 25, 50 and 75 % lie in the polygon (img_id, ordinal, x, y) of their image."""
+    shapes = polygons.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y"))).alias("polygon"))
+    at = lambda t: (F.col("x0") * (1 - t) + F.col("x1") * t, F.col("y0") * (1 - t) + F.col("y1") * t)
+    inside = [in_polygon(F.col("polygon"), *at(t)) for t in (0.25, 0.5, 0.75)]
+    return lines.join(shapes, "img_id").where(inside[0] & inside[1] & inside[2]).select(*lines.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from ..storage import unused, written
 
 
 def rgb() -> tuple[Column, Column, Column]:
@@ -55,13 +56,24 @@ def _as_turn(space: str, channel: int, value: float) -> float:
     return value / 360.0 if _is_hue(space, channel) and value > 1 else float(value)
 
 
+HLS = ("hls_h__", "hls_l__", "hls_s__")
+
+
+def with_hls(px: DataFrame) -> DataFrame:
+    """Pixels with their HLS channels as columns, so that many conditions share one computation."""
+    h, light, s = color.hls(*rgb())
+    return px.withColumns(dict(zip(HLS, (h, light, s), strict=True)))
+
+
 def condition(spec: Sequence) -> Column:
-    """(space, channel, value, 'below' | 'above') or (space, channel, (low, high), 'between' | 'outside'); all ends count as inside."""
-    R, G, B = rgb()
+    """(space, channel, value, 'below' | 'above') or (space, channel, (low, high), 'between' | 'outside'); all ends count as inside.
+
+    It reads r, g, b, and for hls the columns of with_hls().
+    """
     space, channel, limit, direction = str(spec[0]).lower(), int(spec[1]), spec[2], spec[3]
     if space not in ("rgb", "hls") or channel not in (0, 1, 2):
         raise ValueError(f"no such channel: {space}, {channel}")
-    value = (R, G, B)[channel] / 255.0 if space == "rgb" else tuple(color.hls(R, G, B))[channel]
+    value = rgb()[channel] / 255.0 if space == "rgb" else F.col(HLS[channel])
     if isinstance(limit, list | tuple):
         low, high = (_as_turn(space, channel, float(x)) for x in limit)
         over, under = value >= low, value <= high
@@ -83,7 +95,7 @@ def _label(spec: Sequence) -> str:
 
 
 def threshold(spec: Sequence) -> tuple[str, Column]:
-    """(name, predicate) of a single, range, dual or triple specification."""
+    """(name, predicate) of a single, range, dual or triple specification; see condition()."""
     kind = str(spec[0]).lower()
     wanted = {"dual": 2, "triple": 3}.get(kind)
     if wanted is None:
@@ -103,7 +115,7 @@ def threshold_fractions(px: DataFrame, specs: Sequence[Sequence]) -> DataFrame:
     """One row for every image; null where an image has no foreground."""
     R, G, B = rgb()
     front = color.is_foreground(R, G, B)
-    return px.groupBy("img_id").agg(*[F.avg(F.when(front, meets.cast("double"))).alias(name) for name, meets in map(threshold, specs)])
+    return with_hls(px).groupBy("img_id").agg(*[F.avg(F.when(front, meets.cast("double"))).alias(name) for name, meets in map(threshold, specs)])
 
 
 def bright_colors(lightness: float = 0.2, saturation: float = 0.3, blue_lightness: float = 0.15, blue_saturation: float = 0.2) -> list[tuple]:
@@ -123,7 +135,7 @@ def metrics_table(px: DataFrame, specs: Sequence[Sequence] = ()) -> DataFrame:
     R, G, B = rgb()
     front = color.is_foreground(R, G, B)
     columns = mean_color_columns(front) | {name: F.avg(F.when(front, meets.cast("double"))) for name, meets in map(threshold, specs)}
-    return px.groupBy("img_id").agg(*[v.alias(k) for k, v in columns.items()])
+    return (with_hls(px) if specs else px).groupBy("img_id").agg(*[v.alias(k) for k, v in columns.items()])
 
 
 def clip_metrics(px: DataFrame, low: float = 5, high: float = 250, per_channel: bool = True) -> DataFrame:
@@ -144,17 +156,16 @@ def midtone(px: DataFrame, robust: tuple[float, float] = (0.05, 0.95), band: tup
     """Illumination metrics of lightness stretched between robust percentiles; null where there are under 10 pixels or no spread."""
     R, G, B = rgb()
     light = foreground(px).select("img_id", (color.lab(R, G, B).a / 100.0).alias("l"))
-    # one aggregate row an image holds the values' counts, so exact percentiles need one shuffle only
-    at = light.groupBy("img_id").agg(F.count("*").alias("n"), F.percentile("l", F.array(F.lit(robust[0]), F.lit(robust[1]), F.lit(0.1), F.lit(0.9), F.lit(0.5))).alias("p"))
+    # values are counted before they are shuffled; all outputs follow from an image's counts
+    counts = light.groupBy("img_id", "l").agg(F.count("*").alias("k"))
+    shares = F.array(F.lit(robust[0]), F.lit(robust[1]), F.lit(0.1), F.lit(0.9), F.lit(0.5))
+    at = counts.groupBy("img_id").agg(F.sum("k").alias("n"), F.percentile("l", shares, F.col("k")).alias("p"), F.collect_list(F.struct("l", "k")).alias("values"))
     fine = (F.col("n") >= 10) & (F.col("p")[1] > F.col("p")[0])
-    both = light.join(at.where(fine), "img_id")
     stretch = lambda v, i, j: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("p")[i]) / (F.col("p")[j] - F.col("p")[i])))
-    s = stretch(F.col("l"), 0, 1)
-    share = F.avg(s.between(*band).cast("double"))
-    tails = F.avg((s > band[1]).cast("double")) - F.avg((s < band[0]).cast("double"))
+    of = lambda test: F.aggregate("values", F.lit(0).cast("long"), lambda acc, x: acc + F.when(test(stretch(x["l"], 0, 1)), x["k"]).otherwise(0)) / F.col("n")
+    tails = of(lambda s: s > band[1]) - of(lambda s: s < band[0])
+    out = at.select("img_id", "n", "p", F.when(fine, of(lambda s: s.between(*band))).alias("midtone_share"), F.when(fine, tails).alias("tail_imbalance"))
     # stretching keeps order, so the median can be stretched instead of the values
-    shares = both.groupBy("img_id").agg(share.alias("midtone_share"), tails.alias("tail_imbalance"))
-    out = at.join(shares, "img_id", "left")
     median = stretch(F.col("p")[4], 0, 1) - 0.5
     center = F.when(F.col("p")[3] > F.col("p")[2], stretch(F.col("p")[4], 2, 3) - 0.5)
     raw = median * 0.30 + F.col("tail_imbalance") * 0.70
@@ -240,13 +251,23 @@ def hsv_palette(px: DataFrame) -> DataFrame:
     return n.select(F.format_string("cluster_%03d", F.col("k").cast("long")).alias("cluster_id"), "r", "g", "b", "h", "s", "v")
 
 
+def ranges_in_order(df: DataFrame, order: list[str], place: str) -> DataFrame:
+    """The rows with a `place` that ascends in the given order: the range in its upper bits, from 0 on in the lower 33.
+
+    They are written once: bounds of ranges are sampled, so two plans over the same rows may cut them differently.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.withColumn(place, F.monotonically_increasing_id()))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1.. in the given order without a single-task window: ranges are sorted apart and offset by the counts before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id())
-    ranged = ranged.withColumn("in__", F.row_number().over(Window.partitionBy("part__").orderBy(*order)))
-    counts = ranged.groupBy("part__").agg(F.count("*").alias("n__"))  # one row a partition
-    before = counts.select("part__", (F.sum("n__").over(Window.orderBy("part__")) - F.col("n__")).alias("before__"))
-    return ranged.join(F.broadcast(before), "part__").withColumn(name, (F.col("in__") + F.col("before__")).cast("long")).drop("part__", "in__", "before__")
+    place, part, n, before = unused(df, "place__", "part__", "n__", "before__")
+    rows = ranges_in_order(df, order, place).withColumn(part, F.shiftright(place, 33))
+    counts = rows.groupBy(part).agg(F.count("*").alias(n))  # one row a range
+    offsets = counts.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before))
+    number = F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before) + 1
+    return rows.join(F.broadcast(offsets), part).withColumn(name, number.cast("long")).drop(place, part, before)
 
 
 def palette_shares(px: DataFrame) -> DataFrame:
@@ -264,7 +285,7 @@ def palette_shares_wide(px: DataFrame, colors: list[tuple[int, int, int]]) -> Da
     return foreground(px).groupBy("img_id").agg(*columns)
 
 
-def palette_coverage(px: DataFrame, pal: DataFrame, tolerance: float, max_palette: int = 100_000) -> DataFrame:
+def palette_coverage(px: DataFrame, pal: DataFrame, tolerance: float) -> DataFrame:
     """img_id, cluster_id, coverage: pixels go to the nearest palette colour within `tolerance`; all foreground pixels are the base.
 
     Only distinct colours (at most 2**24) meet the palette, by cells of side `tolerance`, so no full product is made.
@@ -285,6 +306,24 @@ def palette_coverage(px: DataFrame, pal: DataFrame, tolerance: float, max_palett
     return each.join(owner, ["r", "g", "b"]).groupBy("img_id", "cluster_id").agg(F.sum("n").alias("n")).join(total, "img_id").select("img_id", "cluster_id", (F.col("n") / F.col("total")).alias("coverage"))
 
 
+def nearest_to_quantiles(df: DataFrame, key: str, metric: str, shares: Sequence[float], k: int) -> DataFrame:
+    """quantile, key, value: the k rows nearest to each quantile of a metric; a row goes to the first quantile that takes it.
+
+    Quantiles before take at most k rows each, so of each only the k times their number nearest rows are candidates; ties
+    go to the smaller value and key.
+    """
+    rows = df.where(F.col(metric).isNotNull()).select(F.col(key).alias("id"), F.col(metric).cast("double").alias("value"))
+    at = rows.agg(F.percentile("value", F.array(*[F.lit(float(q)) for q in shares])).alias("q")).first().q
+    taken, out = set(), []
+    for i, target in enumerate(at or ()):
+        near = rows.orderBy(F.abs(F.col("value") - F.lit(target)), "value", "id").limit(k * (i + 1)).collect()
+        mine = [r for r in near if r.id not in taken][:k]
+        taken |= {r.id for r in mine}
+        out += [(float(shares[i]), r.id, r.value) for r in mine]
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"quantile double, {key} {kind}, value double")
+
+
 def gray_relation(px: DataFrame) -> DataFrame:
     R, G, B = rgb()
     return px.select("img_id", "y", "x", color.gray8(R, G, B).cast("long").alias("gray"))

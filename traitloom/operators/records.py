@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .metrics import numbered
+from ..storage import unused
+from .metrics import numbered, ranges_in_order
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -169,17 +170,26 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     return df.orderBy(ids.hash_order(F.col(key), seed), key).limit(n)
 
 
+def chosen_exemplars(images: DataFrame, choices: DataFrame, seed: int = 1) -> DataFrame:
+    """taxon, exemplar_img_id: the image at the chosen ordinal (from 0) among those of its taxon, in a reproducible random order."""
+    w = Window.partitionBy("taxon").orderBy(ids.hash_order(F.col("img_id"), seed), "img_id")
+    shown = images.where(F.col("taxon").isNotNull()).withColumn("ordinal", F.row_number().over(w) - 1)
+    return shown.join(choices, ["taxon", "ordinal"]).select("taxon", F.col("img_id").alias("exemplar_img_id"))
+
+
 def split_train_test(df: DataFrame, key: str, test_share: float, seed: int = 1) -> DataFrame:
     """The first ceil(n * (1 - share)) rows in hash order train, the rest test."""
     n = df.count()
-    ordered = numbered(df.withColumn("o__", ids.hash_order(F.col(key), seed)), ["o__", key], "k__")
+    o, k = unused(df, "o__", "k__")
+    ordered = numbered(df.withColumn(o, ids.hash_order(F.col(key), seed)), [o, key], k)
     train = -int(-n * (1 - test_share) // 1)
-    return ordered.withColumn("part", F.when(F.col("k__") <= train, "Train").otherwise("Test")).drop("o__", "k__")
+    return ordered.withColumn("part", F.when(F.col(k) <= train, "Train").otherwise("Test")).drop(o, k)
 
 
 def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """A chunk number for every row: index div size, in order."""
-    return numbered(df, order, "k__").withColumn("chunk", F.floor((F.col("k__") - 1) / size).cast("long")).drop("k__")
+    (k,) = unused(df, "k__")
+    return numbered(df, order, k).withColumn("chunk", F.floor((F.col(k) - 1) / size).cast("long")).drop(k)
 
 
 def next_suffix(names: DataFrame, prefix: str) -> DataFrame:
@@ -252,10 +262,10 @@ def class_report(predictions: DataFrame) -> DataFrame:
 def auroc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve of (score, label 0/1) by ranks over distinct scores; ties count half."""
     n = scores.groupBy("score").agg(F.sum((F.col("label") == 1).cast("double")).alias("p"), F.sum((F.col("label") == 0).cast("double")).alias("n"))
-    ranged = n.repartitionByRange("score").sortWithinPartitions("score").withColumn("part__", F.spark_partition_id())
-    w = Window.partitionBy("part__").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("in__", F.coalesce(F.sum("n").over(w), F.lit(0.0)))
-    counts = ranged.groupBy("part__").agg(F.sum("n").alias("n__"))
+    rows = ranges_in_order(n, ["score"], "place__").withColumn("part__", F.shiftright("place__", 33))
+    w = Window.partitionBy("part__").orderBy("place__").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("part__").agg(F.sum("n").alias("n__"))  # one row a range
     before = counts.select("part__", (F.sum("n__").over(Window.orderBy("part__")) - F.col("n__")).alias("b__"))
     total = F.sum(F.col("p") * (F.col("in__") + F.col("b__") + F.col("n") / 2))
-    return ranged.join(F.broadcast(before), "part__").agg(F.try_divide(total, F.sum("p") * F.sum("n")).alias("auroc"))
+    inside = rows.withColumn("in__", F.coalesce(F.sum("n").over(w), F.lit(0.0)))
+    return inside.join(F.broadcast(before), "part__").agg(F.try_divide(total, F.sum("p") * F.sum("n")).alias("auroc"))

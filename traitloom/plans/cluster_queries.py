@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, kernels
+from ..operators import blocks, cluster, kernels
 from .pixel_queries import rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def vectors(spark, d, dims: int = 0):
+def vectors(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return e.select("vec_id", "label", (F.slice(v, 1, dims) if dims else v).alias("features"))
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
 E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings), l AS (SELECT vec_id, label, unnest(f) AS v, generate_subscripts(f, 1) AS dim FROM e)"
@@ -49,17 +48,17 @@ def scale_standard(spark, d):
     return long(cluster.scaled(vectors(spark, d), "standard"), "vec_id")
 
 
-@query("feature_weights", E + " SELECT vec_id, dim, round(v * CASE dim WHEN 1 THEN 2.0 WHEN 2 THEN 0.5 ELSE 1.0 END, 6) AS value FROM l WHERE dim <= 3")
+@query("feature_weights", E + " SELECT vec_id, dim, round(v * (dim % 4 + 1) / 2.0::DOUBLE, 6) AS value FROM l")
 def feature_weights(spark, d):
-    return long(cluster.weighted(vectors(spark, d, 3), [2.0, 0.5, 1.0]), "vec_id")
+    return long(cluster.weighted(vectors(spark, d), [(i % 4 + 1) / 2 for i in range(1, 65)]), "vec_id")
 
 
-_HOLES = E + ", h AS (SELECT vec_id, dim, CASE WHEN (vec_id + dim) % 17 = 0 THEN NULL ELSE v END AS v FROM l WHERE dim <= 6)"
+_HOLES = E + ", h AS (SELECT vec_id, dim, CASE WHEN (vec_id + dim) % 117 = 0 THEN NULL ELSE v END AS v FROM l)"
 
 
 def _holes(spark, d):
-    v = vectors(spark, d, 6)
-    return v.withColumn("features", F.transform("features", lambda x, i: F.when((F.col("vec_id") + i + 1) % 17 == 0, None).otherwise(x)))
+    v = vectors(spark, d)
+    return v.withColumn("features", F.transform("features", lambda x, i: F.when((F.col("vec_id") + i + 1) % 117 == 0, None).otherwise(x)))
 
 
 @query("impute_mean", _HOLES + " SELECT vec_id, dim, round(coalesce(v, avg(v) OVER (PARTITION BY dim)), 6) AS value FROM h")
@@ -183,7 +182,7 @@ def kmeans_fit(spark, d):
 
 @query("gmm_fit")
 def gmm_fit(spark, d):
-    return cluster.fitted(vectors(spark, d, 4).drop("label"), "gaussian_mixture", 3)[0].select("vec_id", "label", "probability")
+    return cluster.fitted(vectors(spark, d).drop("label"), "gaussian_mixture", 3)[0].select("vec_id", "label", "probability")
 
 
 @query("pca_exemplar")
@@ -199,7 +198,31 @@ def agglomerative_groups(spark, d):
 
 @query("dbscan_groups")
 def dbscan_groups(spark, d):
-    return _grouped(spark, d, "dbscan", eps=0.35)
+    return _grouped(spark, d, "dbscan", eps=1.2, least=4)
+
+
+@query("hdbscan_groups")
+def hdbscan_groups(spark, d):
+    return _grouped(spark, d, "hdbscan")
+
+
+@query("tsne_groups")
+def tsne_groups(spark, d):
+    return _grouped(spark, d, "tsne", rounds=250)
+
+
+_NEAR = E + ", p AS (SELECT a.vec_id, list_distance(a.f, b.f) AS d FROM e a, e b), k AS (SELECT vec_id, d AS distance FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d) = 4)"
+
+
+@query("k_distances", _NEAR + " SELECT vec_id, round(distance, 6) AS distance FROM k")
+def k_distances(spark, d):
+    return rounded(blocks.k_distances(vectors(spark, d), "vec_id", 4))
+
+
+@query("knee_radius", _NEAR + ", c AS (SELECT distance, row_number() OVER (ORDER BY distance, vec_id) AS i FROM k), z AS (SELECT min(distance) AS lo, max(distance) AS hi, count(*) AS n FROM c) SELECT round(distance, 6) AS eps FROM c, z ORDER BY abs(lo + (hi - lo) * (i - 1) / (n - 1) - distance) DESC, i LIMIT 1")
+def knee_radius(spark, d):
+    """The one distance at the knee."""
+    return rounded(cluster.knee_radius(vectors(spark, d), "vec_id", 4))
 
 
 @query("affinity_groups")
@@ -208,4 +231,4 @@ def affinity_groups(spark, d):
 
 
 def _grouped(spark, d, algorithm, **options):
-    return kernels.cluster_groups(vectors(spark, d, 4).withColumnRenamed("label", "species"), "species", "vec_id", algorithm, **options)
+    return kernels.cluster_groups(vectors(spark, d).withColumnRenamed("label", "species"), "species", "vec_id", algorithm, **options)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels, masks, metrics
+from ..operators import kernels, masks, metrics, patterns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -427,6 +428,11 @@ def upright_kernel(spark, d):
     return kernels.on_images(mask(spark, d), kernels.upright, ["gray"])
 
 
+@query("upright_lines_kernel")
+def upright_lines_kernel(spark, d):
+    return kernels.on_images(mask(spark, d), lambda a: kernels.upright_by_lines(a, "polygon"), ["gray"])
+
+
 @query("texture_kernel")
 def texture_kernel(spark, d):
     return kernels.facts_of(gray(spark, d), kernels.texture_facts, ["gray"], ["rms_contrast", "edge_density", "grain", "homogeneity", "spectral_slope"])
@@ -438,3 +444,43 @@ def patch_kernel(spark, d):
 
     c = color.lab(F.col("r"), F.col("g"), F.col("b"))
     return kernels.patch_table(pixels(spark, d).select("img_id", "y", "x", c.a.alias("l"), c.b.alias("a"), c.c.alias("b")))
+
+
+@query("part_patch_kernel")
+def part_patch_kernel(spark, d):
+    """Patches of one shade: parts of equal coarse brightness."""
+    return kernels.patch_table(coarse(spark, d), ("r", "g", "b"), how=lambda a: kernels.part_patches(np.where(a.sum(2) > 0, a.sum(2) // 64, -1)))
+
+
+@query("edge_patch_kernel")
+def edge_patch_kernel(spark, d):
+    return kernels.patch_table(pixels(spark, d), ("r", "g", "b"), how=lambda a: kernels.edge_patches(a.mean(2)))
+
+
+@query("longest_run_kernel")
+def longest_run_kernel(spark, d):
+    return kernels.facts_of(mask(spark, d), kernels.run_facts, ["gray"], ["length", "x0", "y0", "x1", "y1"])
+
+
+def _brands(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("img_id"), F.col("p_brand").alias("group"))
+
+
+@query("patterns_individual")
+def patterns_individual(spark, d):
+    return patterns.patterns(pixels(spark, d), 4, individually=True)
+
+
+@query("patterns_by_group")
+def patterns_by_group(spark, d):
+    return patterns.patterns(coarse(spark, d), 5, groups=_brands(spark, d))
+
+
+@query("patterns_together")
+def patterns_together(spark, d):
+    return patterns.patterns(coarse(spark, d), 6)
+
+
+@query("patterns_two_stage")
+def patterns_two_stage(spark, d):
+    return patterns.two_stage_patterns(pixels(spark, d), 4, 6, groups=_brands(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import masks, records
+from ..operators import masks, metrics, records
 from ..sources import records as sources
 from .pixel_queries import rounded
 
@@ -69,10 +69,10 @@ def enc_records(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), "label").join(table(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_brand").alias("species")), "img_id")
 
 
-@query("outer_fill", "WITH a AS (SELECT doc_id AS id, quality FROM labels WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, toxic FROM labels WHERE doc_id % 3 = 0) SELECT coalesce(a.id, b.id) AS id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM a FULL JOIN b ON a.id = b.id")
+@query("outer_fill", "WITH a AS (SELECT doc_id AS id, quality FROM labels), b AS (SELECT vec_id AS id, label AS toxic FROM embeddings) SELECT coalesce(a.id, b.id) AS id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM a FULL JOIN b ON a.id = b.id")
 def outer_fill(spark, d):
-    labels = table(spark, d, "labels").withColumnRenamed("doc_id", "id")
-    return records.outer_filled(labels.where("id % 2 = 0").select("id", "quality"), labels.where("id % 3 = 0").select("id", "toxic"), "id")
+    left = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return records.outer_filled(left, table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("toxic")), "id")
 
 
 @query("lookup_ordered", "SELECT o_orderkey AS pos, o_custkey AS c_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -238,10 +238,10 @@ def seq_path(spark, d):
     return records.next_suffix(table(spark, d, "part").select(F.concat(F.lit("collage_"), F.col("p_size").cast("string"), F.lit(".png")).alias("name")), "collage")
 
 
-@query("codings_upsert", "WITH a AS (SELECT doc_id::VARCHAR AS id, quality::VARCHAR AS q, 'old' AS t FROM labels), b AS (SELECT doc_id::VARCHAR AS id, NULL::VARCHAR AS q, 'new' AS t FROM documents WHERE doc_id % 4 = 0) SELECT coalesce(a.id, b.id) AS id, coalesce(b.q, a.q) AS q, coalesce(b.t, a.t) AS t FROM a FULL JOIN b ON a.id = b.id")
+@query("codings_upsert", "WITH a AS (SELECT doc_id::VARCHAR AS id, quality::VARCHAR AS q, 'old' AS t FROM labels), b AS (SELECT vec_id::VARCHAR AS id, NULL::VARCHAR AS q, 'new' AS t FROM embeddings) SELECT coalesce(a.id, b.id) AS id, coalesce(b.q, a.q) AS q, coalesce(b.t, a.t) AS t FROM a FULL JOIN b ON a.id = b.id")
 def codings_upsert(spark, d):
     old = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("string").alias("q"), F.lit("old").alias("t"))
-    new = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("q"), F.lit("new").alias("t"))
+    new = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit(None).cast("string").alias("q"), F.lit("new").alias("t"))
     return records.merged_codings(old, new, ["q", "t"])
 
 
@@ -252,11 +252,12 @@ def vocabulary(spark, d):
     return records.vocabulary(terms)
 
 
-@query("taxon_ids", "WITH t AS (SELECT p_name AS name, CASE WHEN len(string_split(p_name, ' ')) = 2 THEN 'species' ELSE 'genus' END AS rank, min(p_partkey) AS taxon_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) SELECT DISTINCT p_name AS name, CASE WHEN len(string_split(p_name, ' ')) = 2 THEN 'species' ELSE 'genus' END AS rank, coalesce(taxon_id, -1) AS taxon_id FROM part LEFT JOIN t ON t.name = p_name")
+@query("taxon_ids", "WITH w AS (SELECT p_name AS name FROM part UNION SELECT s_name FROM supplier), n AS (SELECT name, CASE WHEN len(string_split(name, ' ')) = 2 THEN 'species' ELSE 'genus' END AS rank FROM w), t AS (SELECT p_name AS name, CASE WHEN len(string_split(p_name, ' ')) = 2 THEN 'species' ELSE 'genus' END AS rank, min(p_partkey) AS taxon_id FROM part GROUP BY 1, 2) SELECT n.name, n.rank, coalesce(taxon_id, -1) AS taxon_id FROM n LEFT JOIN t ON t.name = n.name AND t.rank = n.rank")
 def taxon_ids(spark, d):
     part = table(spark, d, "part")
     rank = F.when(F.size(F.split("p_name", " ")) == 2, "species").otherwise("genus")
-    return records.taxon_ids(part.select(F.col("p_name").alias("name")).distinct(), part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), rank.alias("rank"), F.col("p_partkey").alias("taxon_id")))
+    names = part.select(F.col("p_name").alias("name")).union(table(spark, d, "supplier").select("s_name")).distinct()
+    return records.taxon_ids(names, part.select(F.col("p_name").alias("name"), rank.alias("rank"), F.col("p_partkey").alias("taxon_id")))
 
 
 @query("record_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -349,3 +350,81 @@ def iou_box_prompt(spark, d):
 @query("collage_places", "SELECT doc_id AS img_id, (doc_id % 12) * 64 AS x, (doc_id // 12) * 48 AS y FROM documents")
 def collage_places(spark, d):
     return masks.collage_places(table(spark, d, "documents").select(F.col("doc_id").alias("img_id"), F.col("doc_id").alias("ordinal")), 12, (64, 48))
+
+
+# Suppression, masks and prompts.
+
+_NMS = _BOX + ", s AS (SELECT *, (box_id * 7919 + img_id * 13) % 101 AS score FROM bx), r AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, box_id, x0, y0, x1, y1) AS k FROM s)"
+
+
+@query("boxes_kept", f"""WITH RECURSIVE {_NMS}, o AS (SELECT a.img_id, a.k, list(b.k) AS over FROM r a JOIN r b ON a.img_id = b.img_id AND b.k < a.k AND {_IOU} > 0.4 GROUP BY 1, 2), f AS (SELECT r.img_id, r.k, r.box_id, coalesce(over, []) AS over FROM r LEFT JOIN o ON o.img_id = r.img_id AND o.k = r.k),
+  w(img_id, k, kept, ids) AS (SELECT img_id, k, [k], [box_id] FROM f WHERE k = 1 UNION ALL SELECT f.img_id, f.k, CASE WHEN list_has_any(kept, f.over) THEN kept ELSE list_append(kept, f.k) END, CASE WHEN list_has_any(kept, f.over) THEN ids ELSE list_append(ids, f.box_id) END FROM w JOIN f ON f.img_id = w.img_id AND f.k = w.k + 1)
+  SELECT img_id, unnest(ids) AS box_id FROM w QUALIFY k = max(k) OVER (PARTITION BY img_id)""")
+def boxes_kept(spark, d):
+    scored = _boxes(spark, d).withColumn("score", (F.col("box_id") * 7919 + F.col("img_id") * 13) % 101)
+    return masks.boxes_kept(scored, 0.4)
+
+
+#: Four rectangular masks an image.
+_MASK = """k AS (SELECT p_partkey AS img_id, m AS mask_id, (p_partkey * (m + 3)) % 6 AS y0, (p_partkey * (m + 5)) % 7 AS x0, 2 + (p_partkey + m * m) % 9 AS h, 2 + (p_partkey * 3 + m) % 8 AS w FROM part, range(4) t(m)),
+  mk AS (SELECT img_id, mask_id, y, x FROM k, range(20) a(y), range(20) b(x) WHERE y >= y0 AND y < y0 + h AND x >= x0 AND x < x0 + w), ar AS (SELECT img_id, mask_id, count(*) AS area FROM mk GROUP BY 1, 2)"""
+
+
+def _masks(spark, d):
+    p, m = F.col("p_partkey"), F.col("m")
+    k = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("m"))
+    k = k.select(p.alias("img_id"), m.alias("mask_id"), (p * (m + 3) % 6).alias("y0"), (p * (m + 5) % 7).alias("x0"), ((p + m * m) % 9 + 2).alias("h"), ((p * 3 + m) % 8 + 2).alias("w"))
+    side = lambda a, n: F.explode(F.sequence(F.col(a), F.col(a) + F.col(n) - 1))
+    return k.select("*", side("y0", "h").alias("y")).select("img_id", "mask_id", "y", side("x0", "w").alias("x"))
+
+
+@query("masks_not_inside", f"WITH {_MASK}, o AS (SELECT a.img_id, a.mask_id AS a, b.mask_id AS b, count(*) AS n FROM mk a JOIN mk b USING (img_id, y, x) WHERE a.mask_id <> b.mask_id GROUP BY 1, 2, 3), g AS (SELECT o.img_id, b FROM o JOIN ar p ON p.img_id = o.img_id AND p.mask_id = a JOIN ar q ON q.img_id = o.img_id AND q.mask_id = b WHERE q.area < p.area AND n / q.area > 0.8) SELECT img_id, mask_id FROM ar WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.img_id = ar.img_id AND g.b = ar.mask_id)")
+def masks_not_inside(spark, d):
+    return masks.masks_not_inside(_masks(spark, d))
+
+
+_PROMPT = ", pr AS (SELECT p_partkey AS img_id, b AS box_id, (p_partkey + b) % 5 AS y0, (p_partkey * 2 + b) % 5 AS x0, 5 + (p_partkey + b) % 5 + b * 3 AS y1, 5 + (p_partkey * 2 + b) % 5 + b AS x1 FROM part, range(2) t(b))"
+
+
+@query("masks_for_boxes", f"WITH {_MASK}{_PROMPT}, i AS (SELECT pr.img_id, box_id, mask_id, count(*) AS n FROM pr JOIN mk USING (img_id) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2, 3), c AS (SELECT pr.img_id, box_id, ar.mask_id, coalesce(n, 0) / ((x1 - x0) * (y1 - y0) + area - coalesce(n, 0)) AS iou FROM pr JOIN ar USING (img_id) LEFT JOIN i USING (img_id, box_id, mask_id)), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY img_id, box_id ORDER BY iou DESC, mask_id) = 1) SELECT DISTINCT img_id, mask_id FROM t")
+def masks_for_boxes(spark, d):
+    p, b = F.col("img_id"), F.col("box_id")
+    prompts = table(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("box_id"))
+    prompts = prompts.select("*", ((p + b) % 5).alias("y0"), ((p * 2 + b) % 5).alias("x0"))
+    return masks.masks_for_boxes(_masks(spark, d), prompts.select("*", (F.col("y0") + 5 + b * 3).alias("y1"), (F.col("x0") + 5 + b).alias("x1")))
+
+
+@query("mask_by_points", f"WITH {_MASK}, pt AS (SELECT p_partkey AS img_id, o AS ordinal, (p_partkey + o * 3) % 9 AS y, (p_partkey * 5 + o) % 9 AS x, CASE WHEN (p_partkey + o) % 3 = 0 THEN 0 ELSE 1 END AS label FROM part, range(3) t(o)), h AS (SELECT mk.img_id, mask_id, arg_max(label, ordinal) AS label FROM mk JOIN pt USING (img_id, y, x) GROUP BY 1, 2), e AS (SELECT mk.*, label, area FROM mk JOIN h USING (img_id, mask_id) JOIN ar USING (img_id, mask_id)), z AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY img_id, y, x ORDER BY area, mask_id DESC) = 1) SELECT img_id, y, x FROM z WHERE label = 1")
+def mask_by_points(spark, d):
+    p, o = F.col("img_id"), F.col("ordinal")
+    points = table(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("ordinal"))
+    return masks.mask_by_points(_masks(spark, d), points.select("*", ((p + o * 3) % 9).alias("y"), ((p * 5 + o) % 9).alias("x"), F.when((p + o) % 3 == 0, 0).otherwise(1).alias("label")))
+
+
+_LINES = """pg AS (SELECT * FROM (VALUES (0, 0, 0), (1, 10, 0), (2, 10, 10), (3, 5, 4), (4, 0, 10)) v(ordinal, x, y)), sd AS (SELECT a.x AS ax, a.y AS ay, b.x AS qx, b.y AS qy FROM pg a JOIN pg b ON b.ordinal = (a.ordinal + 1) % 5),
+  ln AS (SELECT l_orderkey AS img_id, l_linenumber AS line_id, l_partkey % 12 AS x0, l_suppkey % 11 AS y0, (l_partkey // 12) % 12 AS x1, (l_quantity::BIGINT) % 11 AS y1 FROM lineitem),
+  pt AS (SELECT *, x0 * (1 - t) + x1 * t AS px, y0 * (1 - t) + y1 * t AS py FROM ln, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(t)),
+  c AS (SELECT pt.*, (qx - ax) * (py - ay) - (qy - ay) * (px - ax) AS cr, ax, ay, qx, qy FROM pt, sd),
+  i AS (SELECT img_id, line_id, x0, y0, x1, y1, t, bool_or(cr = 0 AND px BETWEEN least(ax, qx) AND greatest(ax, qx) AND py BETWEEN least(ay, qy) AND greatest(ay, qy)) OR sum(((ay > py) <> (qy > py) AND (cr > 0) = (qy > ay))::INT) % 2 = 1 AS inside FROM c GROUP BY ALL)
+  SELECT img_id, line_id, x0, y0, x1, y1 FROM i GROUP BY ALL HAVING bool_and(inside)"""
+
+
+@query("lines_inside", "WITH " + _LINES.replace("GROUP BY ALL HAVING", "GROUP BY 1, 2, 3, 4, 5, 6 HAVING").replace("FROM c GROUP BY ALL", "FROM c GROUP BY 1, 2, 3, 4, 5, 6, 7"))
+def lines_inside(spark, d):
+    line = table(spark, d, "lineitem")
+    lines = line.select(F.col("l_orderkey").alias("img_id"), F.col("l_linenumber").alias("line_id"), (F.col("l_partkey") % 12).alias("x0"), (F.col("l_suppkey") % 11).alias("y0"), (F.floor(F.col("l_partkey") / 12) % 12).alias("x1"), (F.col("l_quantity").cast("long") % 11).alias("y1"))
+    corners = spark.createDataFrame([(0, 0, 0), (1, 10, 0), (2, 10, 10), (3, 5, 4), (4, 0, 10)], "ordinal int, x int, y int")
+    return masks.lines_inside(lines, table(spark, d, "orders").select(F.col("o_orderkey").alias("img_id")).join(F.broadcast(corners)))
+
+
+@query("quantile_neighbours", "WITH v AS (SELECT p_partkey AS id, p_retailprice AS value FROM part), q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM v), x AS (SELECT 0.25::DOUBLE AS quantile, id, value FROM v, q ORDER BY abs(value - a), value, id LIMIT 20), y AS (SELECT 0.5::DOUBLE AS quantile, id, value FROM v, q WHERE id NOT IN (SELECT id FROM x) ORDER BY abs(value - b), value, id LIMIT 20), z AS (SELECT 0.75::DOUBLE AS quantile, id, value FROM v, q WHERE id NOT IN (SELECT id FROM x UNION SELECT id FROM y) ORDER BY abs(value - c), value, id LIMIT 20) SELECT quantile, id AS p_partkey, value FROM (FROM x UNION ALL FROM y UNION ALL FROM z)")
+def quantile_neighbours(spark, d):
+    """Twenty rows a quantile: a top-k report."""
+    return metrics.nearest_to_quantiles(table(spark, d, "part"), "p_partkey", "p_retailprice", (0.25, 0.5, 0.75), 20)
+
+
+@query("chosen_exemplars", "WITH s AS (SELECT p_brand AS taxon, p_partkey AS img_id, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat(p_partkey, ':1')), p_partkey) - 1 AS ordinal FROM part), c AS (SELECT p_brand AS taxon, min(p_size) % 5 AS ordinal FROM part GROUP BY 1) SELECT taxon, img_id AS exemplar_img_id FROM s JOIN c USING (taxon, ordinal)")
+def chosen_exemplars(spark, d):
+    part = table(spark, d, "part")
+    choices = part.groupBy(F.col("p_brand").alias("taxon")).agg((F.min("p_size") % 5).alias("ordinal"))
+    return records.chosen_exemplars(part.select(F.col("p_brand").alias("taxon"), F.col("p_partkey").alias("img_id")), choices)

@@ -28,14 +28,29 @@ def ids_in_folder(spark: SparkSession, path: str) -> DataFrame:
     return image_names(spark, path).select(ids.image_id(F.col("name")).alias("img_id"), ids.stage_of(F.col("name")).alias("stage"))
 
 
+#: Pixels of an image that are given out at a time.
+PIXELS = 1 << 18
+
+
 def pixels(images: DataFrame) -> DataFrame:
-    """The pixel relation of image rows.  Nothing is shuffled: each image is exploded where it was read."""
-    at = (F.col("y") * F.col("width") + F.col("x")) * F.col("n_channels")
-    byte = lambda k: F.conv(F.hex(F.substring("data", (at + k + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    each = images.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    gray = F.col("n_channels") == 1
-    pick = lambda k: F.when(gray, byte(0)).otherwise(byte(k))
-    return each.select("img_id", "y", "x", pick(2).alias("r"), pick(1).alias("g"), pick(0).alias("b"), F.when(F.col("n_channels") == 4, byte(3)).alias("alpha"))
+    """The pixel relation of image rows.  Nothing is shuffled: each image is taken apart where it was read."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ("img_id", "y", "x", "r", "g", "b", "alpha")
+
+    def run(batches):
+        for batch in batches:
+            for img_id, w, h, c, data in zip(*(batch.column(n).to_pylist() for n in ("img_id", "width", "height", "n_channels", "data")), strict=True):
+                a = np.frombuffer(data, np.uint8, w * h * c).reshape(h * w, c).astype(np.int32)
+                a = np.repeat(a, 3, axis=1) if c == 1 else a[:, [2, 1, 0, *range(3, c)]]
+                for i in range(0, h * w, PIXELS):
+                    part = a[i : i + PIXELS]
+                    y, x = np.divmod(np.arange(i, i + len(part), dtype=np.int32), np.int32(w))
+                    alpha = pa.array(part[:, 3]) if c == 4 else pa.nulls(len(part), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([img_id] * len(part), pa.string()), pa.array(y), pa.array(x), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(3)), alpha], names)
+
+    return images.select("img_id", "width", "height", "n_channels", "data").mapInArrow(run, "img_id string, y int, x int, r int, g int, b int, alpha int")
 
 
 def png(width: int, height: int, rows: bytes, channels: int) -> bytes:
@@ -117,3 +132,50 @@ def camera_models(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"name": pdf["name"], "model": [model(c or b"") for c in pdf["content"]]})
 
     return files.select("name", "content").mapInPandas(run, "name string, model string")
+
+
+def tiff(content: bytes):
+    """(h, w, channels) array of the first image of a TIFF of 8-bit samples, plain or deflated."""
+    import numpy as np
+
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if order is None or struct.unpack(order + "H", content[2:4])[0] != 42:
+        raise ValueError("not a TIFF")
+    at = struct.unpack(order + "I", content[4:8])[0]
+    tags: dict[int, tuple] = {}
+    for k in range(struct.unpack(order + "H", content[at : at + 2])[0]):
+        tag, kind, n = struct.unpack(order + "HHI", content[at + 2 + 12 * k : at + 10 + 12 * k])
+        size, code = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}.get(kind, (0, ""))
+        if size:
+            start = at + 10 + 12 * k if size * n <= 4 else struct.unpack(order + "I", content[at + 10 + 12 * k : at + 14 + 12 * k])[0]
+            tags[tag] = struct.unpack(f"{order}{n}{code}", content[start : start + size * n])
+    # Tag numbers of width, height, bits, compression, strips' places, samples, strips' sizes, planes.
+    w, h, c = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    if set(tags.get(258, (1,))) != {8} or tags.get(259, (1,))[0] not in (1, 8, 32946) or tags.get(284, (1,))[0] != 1:
+        raise ValueError("only 8-bit samples in one plane, plain or deflated, are read")
+    strips = [content[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
+    data = b"".join(s if tags.get(259, (1,))[0] == 1 else zlib.decompress(s) for s in strips)
+    return np.frombuffer(data, np.uint8, h * w * c).reshape(h, w, c)
+
+
+def tiffs_to_png(files: DataFrame, factor: int) -> DataFrame:
+    """name, data of TIFF files (path, content) as PNG, each `factor` x `factor` pixels averaged to one; what is no such TIFF goes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            names, out = [], []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    a = tiff(content)
+                except (ValueError, KeyError, struct.error, zlib.error):
+                    continue
+                h, w = a.shape[0] // factor, a.shape[1] // factor
+                if not h or not w:
+                    continue
+                small = a[: h * factor, : w * factor].reshape(h, factor, w, factor, -1).mean(axis=(1, 3)).round().astype("uint8")
+                names.append(path.rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".png")
+                out.append(png(w, h, small.tobytes(), small.shape[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["name", "data"])
+
+    return files.select("path", "content").mapInArrow(run, "name string, data binary")

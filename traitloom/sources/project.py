@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids
 from ..operators import records as R
+from ..storage import written
 from . import images
 
 
@@ -52,7 +53,7 @@ class Project:
         """Removes ids of a stage; returns img_id and whether it was there."""
         there = self.stages().where(F.col("stage") == stage).select("img_id", F.lit(True).alias("deleted")).distinct()
         report = img_ids.select("img_id").distinct().join(there, "img_id", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-        report = self.spark.createDataFrame(report.toArrow().to_pandas(), report.schema) if report.limit(1).count() else report
+        report = written(report)  # before the blobs go
         kept = self.spark.read.schema(schemas.BLOBS).parquet(self.path("blobs"))
         gone = img_ids.select(ids.image_file(F.col("img_id"), stage).alias("name"))
         self.replace_blobs(kept.join(gone, "name", "left_anti"))
@@ -103,3 +104,38 @@ def training_set(records: DataFrame, group: str, most: int, least: int) -> tuple
     """Rows of a training folder (first `most` of each class with at least `least`), and its settings with the class count."""
     rows = R.first_n_per_group(records, group, most, least, "img_id")
     return rows, {"classes": rows.select(group).distinct().count(), "max_per_class": most, "min_per_class": least}
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def clear_folder(spark: SparkSession, path: str, confirmed: bool = False) -> int:
+    """Deletes all in a folder but the folder itself; returns the number of its entries.  Nothing happens unless confirmed."""
+    if not confirmed:
+        return 0
+    fs, p = _folder(spark, path)
+    entries = [s.getPath() for s in fs.listStatus(p)]
+    for e in entries:
+        fs.delete(e, True)
+    return len(entries)
+
+
+def zip_folder(spark: SparkSession, path: str, out: str) -> int:
+    """Zips the files below a folder under their relative names, one after another, into a local file; returns their number."""
+    import zipfile
+
+    fs, p = _folder(spark, path)
+    base, n = fs.getFileStatus(p).getPath().toString().rstrip("/") + "/", 0
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in files.toLocalIterator():
+            z.writestr(r.path.removeprefix(base), bytes(r.content))
+            n += 1
+    return n
+
+
+def write_exemplars(images: DataFrame, choices: DataFrame, path: str) -> None:
+    """taxon, exemplar_img_id of each choice (taxon, ordinal) as CSV."""
+    write_csv(R.chosen_exemplars(images, choices), path)

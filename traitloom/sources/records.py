@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import time
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -83,6 +85,39 @@ def observations_of_pages(pages: DataFrame, column: str = "body") -> DataFrame:
     ).dropDuplicates(["obs_id"])
 
 
+def total_records(fetch, params: dict) -> int:
+    """`total_results` of the service for some parameters, 0 on any error; `fetch(params) -> str` asks for a page."""
+    try:
+        return int(json.loads(fetch({**params, "page": 1, "per_page": 0}))["total_results"])
+    except Exception:  # an unreachable service has no records to offer
+        return 0
+
+
+def observation_pages(spark: SparkSession, fetch, params: dict, per_page: int = 200, retries: int = 3, pause: float = 1.0) -> DataFrame:
+    """page, body, reason of all pages for some parameters, a page a row; a page is asked for up to `retries` times, `pause` seconds apart, and its error kept."""
+    import pandas as pd
+
+    pages = -(-total_records(fetch, params) // per_page)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page in pdf["page"]:
+                body = reason = None
+                for attempt in range(retries):
+                    if attempt or rows:
+                        time.sleep(pause)
+                    try:
+                        body, reason = fetch({**params, "page": int(page), "per_page": per_page}), None
+                        break
+                    except Exception as e:  # the reason is reported, not hidden
+                        reason = f"{type(e).__name__}: {e}"[:200]
+                rows.append((page, body, reason))
+            yield pd.DataFrame(rows, columns=["page", "body", "reason"])
+
+    return spark.range(1, pages + 1).select(F.col("id").alias("page")).mapInPandas(run, "page bigint, body string, reason string")
+
+
 def split_intervals(count, start: datetime, stop: datetime, most: int = 4000) -> Iterator[tuple[datetime, datetime]]:
     """Creation-time intervals with at most `most` records each, by halving; `count(start, stop)` asks the service."""
     stack = [(start, stop)]
