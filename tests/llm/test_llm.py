@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traitloom.llm import ann, chat, decontam, langid, licenses, near_dup, packing, quality, suffix_dedup, suffix_tree_lm
+from traitloom.llm.common import written
 from traitloom.llm.components import connected
 
 SF = "/root/testdata/sf0.001"
@@ -527,7 +528,7 @@ def test_pipeline_keeps_what_it_should(spark, docs):
         out = stage(spark, d, SF)
         if name != "packing":
             assert out.columns == columns
-            out = corpus_pipeline.written(out)
+            out = written(out)
         d = out
     assert d.count() > 0
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
@@ -558,7 +559,7 @@ def test_one_row_of_each_component_passes_both_stages(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     one = corpus_pipeline.near_duplicates(spark, df, SF)
     assert one.columns == df.columns
-    left = corpus_pipeline.repeated_passages(spark, corpus_pipeline.written(one.where("length(text) > 0")), SF)
+    left = corpus_pipeline.repeated_passages(spark, written(one.where("length(text) > 0")), SF)
     want = sorted([(1, a), (2, b), (None, c), (3, d), (4, e)], key=str)
     assert sorted(map(tuple, left.collect()), key=str) == want
     assert one.count() == len(want) + 2

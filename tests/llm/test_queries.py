@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traitloom.llm import ann, chat, langid, licenses, near_dup, quality, queries, suffix_dedup
+from traitloom.llm.common import written
 
 RNG = random.Random(21)
 #: Names that operators use inside.
@@ -358,7 +359,7 @@ def test_pipeline_stages(spark, sf):
     docs = docs.where("doc_id IS NOT NULL AND doc_id <> 14 AND doc_id <> 15")
     out, left = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.written(stage(spark, out, sf))
+        out = written(stage(spark, out, sf))
         assert out.columns == docs.columns
         left[name] = {r.doc_id: r.text for r in out.select("doc_id", "text").collect()}
     text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -108,8 +109,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Paths written since each last_written() began.
-_open: list[list[str]] = []
+#: Paths written since each last_written() of this thread began.
+_open = threading.local()
+
+
+def _begun() -> list[list[str]]:
+    if not hasattr(_open, "paths"):
+        _open.paths = []
+    return _open.paths
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -118,9 +125,11 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _begun():
+        _begun()[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -132,12 +141,12 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 def last_written(spark: SparkSession, make) -> DataFrame:
     """A table made by `make()`, written; all tables written on the way are deleted."""
-    _open.append([])
+    _begun().append([])
     try:
         out = make()
-        inside = _open.pop()
+        inside = _begun().pop()
     except BaseException:
-        discard(spark, _open.pop())
+        discard(spark, _begun().pop())
         raise
     kept = written(out)
     discard(spark, inside)

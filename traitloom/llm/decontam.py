@@ -4,8 +4,9 @@ Every window of `n` consecutive item words (a shorter, non-empty item is one
 window) is hashed into a set which tasks probe with the windows of each
 training document.  A hash hit is verified word by word before it counts.
 
-The item table is broadcast only after its size is read.  Above
-`max_block_bytes` the items are cut into blocks by hash, each block scans all
+The item table is broadcast only after its size is read: a window is a few words of
+text and about 60 bytes of the set, so `max_block_bytes` of text bound it.  Above
+that the items are cut into blocks by hash, each block scans all
 documents, and the partial hits of a document are merged afterwards.
 
 Defined cases: null or word-less text has no words and no hit; null or empty
@@ -30,23 +31,28 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 class WindowSet:
-    """The windows of some items, by length: sorted hashes, word ids and the items of each."""
+    """The distinct windows of some items, by length: sorted hashes, word ids, and places in a list of the items of each."""
 
     def __init__(self, items: Iterable[tuple[str, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.names: list[str] = []
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text or b"")]
-            m = min(n, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                found.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(name)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text or b"")], np.int32)
+            if m := min(n, len(ids)):
+                found.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(ids, m), len(self.names)))
+                self.names.append(name)
         self.tables = []
         for m, windows in sorted(found.items()):
-            grams = np.array(list(windows), dtype=np.int64)
+            rows = np.ascontiguousarray(np.concatenate([w for w, _ in windows]))
+            owner = np.repeat([k for _, k in windows], [len(w) for w, _ in windows])
+            distinct, of = np.unique(rows.view(f"V{4 * m}").ravel(), return_inverse=True)
+            grams = distinct.view(np.int32).reshape(-1, m)
+            of, owner = np.divmod(np.unique(of.ravel() * len(self.names) + owner), len(self.names))
+            edges = np.searchsorted(of, np.arange(len(grams) + 1))
             hashes = self.hashed(grams.T)
             order = np.argsort(hashes, kind="stable")
-            names = [sorted(x) for x in windows.values()]
-            self.tables.append((m, hashes[order], grams[order], [names[i] for i in order.tolist()]))
+            self.tables.append((m, hashes[order], grams[order], edges[order], edges[order + 1], owner.astype(np.int32)))
 
     @staticmethod
     def hashed(columns) -> np.ndarray:
@@ -60,7 +66,7 @@ class WindowSet:
         """(start, length, items) of every verified window in word ids, where 0 is no item's word."""
         out = []
         holes = np.concatenate(([0], np.cumsum(ids == 0)))
-        for m, hashes, grams, names in self.tables:
+        for m, hashes, grams, first, last, owner in self.tables:
             if len(ids) < m:
                 continue
             at = np.flatnonzero(holes[m:] == holes[:-m])
@@ -73,7 +79,7 @@ class WindowSet:
                 word, value = ids[i : i + m], hashes[h]
                 while h < len(hashes) and hashes[h] == value:
                     if np.array_equal(grams[h], word):
-                        out.append((i, m, names[h]))
+                        out.append((i, m, [self.names[k] for k in owner[first[h] : last[h]].tolist()]))
                         break
                     h += 1
         return out
@@ -111,7 +117,7 @@ def window_blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, max_
         yield WindowSet(((r.item, bytes(r.text)) for r in part.toLocalIterator()), n)
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 32 << 20) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, spans (hit word ranges, maximal, ascending) and items (sorted as strings) of each document."""
     spark = docs.sparkSession
     view = doc_view(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
@@ -152,7 +158,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 4 << 20) -> DataFrame:
     """The documents without any hit, all columns as they were; blocks of items filter one after another."""
     spark = docs.sparkSession
     out = docs
