@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept.  All but the last return the columns of `documents`.
+kept.  All but the last return the columns of `documents`, whatever these are.
+
+Defined cases: null, empty and letterless texts go in the first stage; rows with a
+null id are documents like any other; of repeated rows, and of other ties of near
+copies, one stays; an empty table passes all stages; whole texts are read whatever
+their length.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.llm import decontam, langid, near_dup, packing, suffix_dedup
-from traitloom.llm.common import read, written
+from traitloom.llm.common import discard, last_written, read
 from traitloom.llm.queries import tokenizer_path
 
 #: Bytes of a string whose repeats are removed whatever its words.
@@ -64,9 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; a stage's tables are deleted when the next one's is written."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        done = last_written(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        if k:
+            discard(spark, [docs.written_to])
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
