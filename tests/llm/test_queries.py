@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.llm import ann, chat, langid, licenses, near_dup, quality, queries, suffix_dedup
+from traitloom.llm import ann, chat, langid, licenses, near_dup, oracles, quality, queries, suffix_dedup
 from traitloom.llm.common import written
 
 RNG = random.Random(21)
@@ -345,6 +345,19 @@ def test_op10_at_400_bytes(spark, sf, tables):
     assert any(w[2] for w in want)
 
 
+@pytest.mark.parametrize("tables", ["crafted", "/root/testdata/sf0.001"])
+@pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, sf, tables, name):
+    duckdb = pytest.importorskip("duckdb")
+    d = sf if tables == "crafted" else tables
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet{'/*.parquet' if tables == 'crafted' else ''}'")
+    want, got = c.sql(oracles.ORACLE_SQL[name]), queries.QUERIES[name](spark, d)
+    assert sorted(want.columns) == sorted(got.columns)
+    same_rows([tuple(r) for r in got.select(*want.columns).collect()], want.fetchall())
+
+
 def test_remove_repeats_with_clashing_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     done = suffix_dedup.remove_repeats(docs)

@@ -153,6 +153,15 @@ def last_written(spark: SparkSession, make) -> DataFrame:
     return kept
 
 
+#: Rows (a key of up to 20 bytes and a few numbers each) up to which a side of a join is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def beside(rows: DataFrame, count: int) -> DataFrame:
+    """Rows of at most `count` as a side of a join: broadcast where these are few."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
+
+
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 

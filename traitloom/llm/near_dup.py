@@ -41,12 +41,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_view, last_written, space_words, unused, written
+from .common import beside, chunks, doc_view, last_written, space_words, unused, written
 from .components import connected
 from .hashing import mix, word_hashes
 
-#: Rows (an id and a class of 20 bytes each) up to which a table is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
 #: Shingles that a task counts at a time.
 COUNTED = 500_000
 #: Spokes that are compared with one centre in one group of rows.
@@ -181,11 +179,6 @@ def shingles(text: bytes, words: int) -> set:
     return set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
 
 
-def beside(rows: DataFrame, count: int) -> DataFrame:
-    """Rows of at most `count` as a side of a join: broadcast where these are few."""
-    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
-
-
 def confirmed(pairs: DataFrame, n_pairs: int, view: DataFrame, named: DataFrame, n_named: int, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is at least `least`; named: (cls, own, rep) of the classes they stand for, and perhaps more.
 

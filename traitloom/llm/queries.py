@@ -11,8 +11,11 @@ from . import ann, chat, langid, near_dup, quality, suffix_dedup, suffix_tree_lm
 from .common import crc_mod, read
 from .decontam import annotate
 from .licenses import scan_licenses
+from .oracles import ORACLE_SQL
 from .packing import pack
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -107,4 +110,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -4,10 +4,10 @@ Every byte covered by a string of `size` bytes that also starts anywhere else is
 removed.  The work is narrowed before it is sorted:
 
 1. Texts that occur more than once (by a 128-bit digest) and have `size` bytes are
-   removed whole; of each, one goes on.
+   removed whole; what is sorted of such a text is sorted once.
 2. The starts of all strings of a text are cut into runs that share a
    content-defined anchor, so equal strings always meet under one anchor.
-   Anchors that occur once are done; runs whose whole context occurs twice (by two
+   Anchors that occur once are done, before anything else is shuffled of them; runs whose whole context occurs twice (by two
    64-bit hashes, the anchor's and the context's) are removed whole.
 3. What is left, runs that agree in part with others of their anchor, is sorted.
    Contexts of an anchor are brought together and their suffixes sorted in two
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchor_runs
-from .common import SPANS, bound_batches, joined_texts, last_written, slices, united, unused, written
+from .common import SPANS, beside, bound_batches, discard, joined_texts, last_written, slices, united, unused, written
 from .hashing import RangeHash, mix
 
 
@@ -129,11 +129,11 @@ def repeated_starts(data: bytes, starts: np.ndarray, size: int) -> tuple[np.ndar
     return hit[back], later[back]
 
 
-ANCHORS = "digest binary, first int, last int, anchor bigint, context bigint"
+ANCHORS = "num bigint, digest binary, first int, last int, anchor bigint, context bigint"
 
 
 def runs_of(batches, size: int):
-    """Runs of every text of at least `size` bytes."""
+    """Runs of every text of at least `size` bytes; its digest stands in the first one only."""
     for b, texts, buffer, starts in joined_texts(batches, "text", 1 << 19):
         if not len(buffer):
             continue
@@ -149,7 +149,8 @@ def runs_of(batches, size: int):
         if found:
             at = np.concatenate(who)
             columns = [np.concatenate([f[i] for f in found]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(at)), *map(pa.array, columns)], [c.split()[0] for c in ANCHORS.split(", ")])
+            again = np.concatenate(([False], at[1:] == at[:-1]))
+            yield pa.RecordBatch.from_arrays([b.column("num").take(pa.array(at)), b.column("digest").take(pa.array(at, mask=again)), *map(pa.array, columns)], [c.split()[0] for c in ANCHORS.split(", ")])
 
 
 SHORT = "digest binary, start bigint, stop bigint, hash binary"
@@ -235,27 +236,35 @@ def find(docs: DataFrame, *, text_col: str = "text", size: int = 400, words: int
 
 def repeats(every: DataFrame, size: int, words: int | None, group_contexts: int) -> DataFrame:
     """digest, spans of every text of `every` (digest, text) that loses anything."""
-    place = F.xxhash64("digest", "first")
+    spark = every.sparkSession
     view = every.where(F.octet_length("text") >= size)
     copies = view.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
     copied = written(copies.where("n > 1").select("digest", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop")).alias("span")))
-    anchors = written(view.mapInArrow(lambda b: runs_of(b, size), ANCHORS))
-    # per context, then per anchor: whether it stands in more than one place
-    contexts = anchors.groupBy("anchor", "context").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    groups = contexts.groupBy("anchor").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("partial"), F.count("*").alias("n")).where("l < h")
-    known = contexts.join(groups, "anchor").select("anchor", "context", "lo", (F.col("lo") < F.col("hi")).alias("full"), "partial", F.ceil(F.col("n") / group_contexts).cast("int").alias("parts"))
-    flagged = written(anchors.join(known, ["anchor", "context"]))
-    full = flagged.where("full").select("digest", F.col("first").cast("bigint").alias("start"), (F.col("last") + size).cast("bigint").alias("stop"))
-    # one place of each context is sorted; a text that occurs more than once has the same place in all its copies
-    detail = flagged.where(F.col("partial") == 1).where(~F.col("full") | (place == F.col("lo"))).dropDuplicates(["digest", "first"])
-    wanted = detail.groupBy("digest").agg(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "anchor", F.pmod(place, F.col("parts")).cast("int").alias("part"), "parts")).alias("runs"))
-    cut = view.join(wanted, "digest").select("digest", F.explode("runs").alias("r"), "text")
+    anchors = written(view.withColumn("num", F.monotonically_increasing_id()).mapInArrow(lambda b: runs_of(b, size), ANCHORS))
+    names = written(anchors.where("digest IS NOT NULL").select("num", "digest"))
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    several = written(anchors.drop("digest").join(often, "anchor"))
+    discard(spark, [anchors.written_to])
+    # per context whether it stands in more than one place, and per anchor whether any does not
+    contexts = several.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("num").alias("lo"))
+    groups = contexts.groupBy("anchor").agg(F.max((F.col("n") == 1).cast("int")).alias("partial"), F.count("*").alias("m"))
+    known = contexts.join(groups, "anchor").select("anchor", "context", "lo", (F.col("n") > 1).alias("full"), "partial", F.ceil(F.col("m") / group_contexts).cast("int").alias("parts"))
+    flagged = written(several.join(known, ["anchor", "context"]))
+    discard(spark, [several.written_to])
+    full = flagged.where("full").select("num", F.col("first").cast("bigint").alias("start"), (F.col("last") + size).cast("bigint").alias("stop"))
+    # one text with each context is sorted
+    detail = flagged.where("partial = 1 AND (NOT full OR num = lo)").join(names, "num")
+    part = F.pmod(F.xxhash64("digest", "first"), F.col("parts")).cast("int").alias("part")
+    wanted = written(detail.groupBy("digest").agg(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "anchor", part, "parts")).alias("runs")))
+    # copies of a text are one row of it before anything is brought together
+    texts = view.join(beside(wanted.select("digest"), wanted.count()), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    cut = texts.join(wanted, "digest").select("digest", F.explode("runs").alias("r"), "text")
     cut = cut.select("r.anchor", "r.part", "r.parts", "digest", "r.first", F.substring("text", F.col("r.first").cast("int") + 1, (F.col("r.last") - F.col("r.first") + size).cast("int")).alias("context"))
     sorted_groups = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     found = written(sorted_groups.mapInArrow(lambda b: sort_contexts(b, size), FOUND))
     across = found.where("hash IS NOT NULL")
     shared = across.groupBy("hash").agg(F.min("place").alias("l"), F.max("place").alias("h")).where("l < h").select("hash")
-    spans = full.unionByName(found.where("hash IS NULL").select("digest", "start", "stop")).unionByName(across.join(shared, "hash", "left_semi").select("digest", "start", "stop"))
+    spans = full.join(names, "num").select("digest", "start", "stop").unionByName(found.where("hash IS NULL").select("digest", "start", "stop")).unionByName(across.join(shared, "hash", "left_semi").select("digest", "start", "stop"))
     if words:
         short = written(every.mapInArrow(lambda b: short_windows(b, words, size), SHORT))
         twice = short.groupBy("hash").count().where("count > 1").select("hash")
@@ -279,6 +288,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", size: int = 400,
     """
     whole, spans, kept, digest = unused(docs, "whole", "spans", "kept", "digest")
     found = find(docs, text_col=text_col, size=size, words=words).select(F.col("digest").alias(digest), F.col("spans").alias(spans))
+    found = beside(found, found.agg(F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()[0])  # by the number of all spans
     out = docs.withColumn(whole, F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn(digest, F.unhex(F.md5(whole))).join(found, digest, "left")
     ranges = inward(F.col(whole), F.col(spans)) if whole_characters else F.col(spans)
     none = F.expr(f"cast(array() as {SPANS})")
