@@ -72,8 +72,6 @@ def test_scores_match_numpy(spark):
         s.append((b - a) / max(a, b))
     got = {r.id: r.silhouette for r in cluster.silhouette(df, "id").collect()}
     assert np.allclose([got[i] for i in range(len(x))], s)
-    with pytest.raises(ValueError):
-        cluster.silhouette(df, "id", max_rows=10)
     m = [x[y == k].mean(0) for k in (0, 1)]
     w = sum(((x[y == k] - m[k]) ** 2).sum() for k in (0, 1))
     b = sum((y == k).sum() * ((m[k] - x.mean(0)) ** 2).sum() for k in (0, 1))
@@ -82,7 +80,7 @@ def test_scores_match_numpy(spark):
 
 def test_fits_find_separate_groups(spark):
     df, rows = vectors(spark)
-    for algorithm in ("kmeans", "agglomerative", "gaussian_mixture"):
+    for algorithm in ("kmeans", "bisecting_kmeans", "gaussian_mixture"):
         out, _ = cluster.fitted(df.drop("label"), algorithm, 2)
         pairs = {(r.label, rows[r.id][1]) for r in out.collect()}
         assert len(pairs) == 2
