@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPANS, alnum_words, chunks, doc_view, united
+from .common import SPANS, alnum_words, bound_batches, chunks, doc_view, united
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -161,6 +161,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 4 << 20) -> DataFrame:
     """The documents without any hit, all columns as they were; blocks of items filter one after another."""
     spark = docs.sparkSession
+    bound_batches(spark)
     out = docs
     for windows in window_blocks(benchmark, item_col, item_text_col, n, max_block_bytes):
         shared = spark.sparkContext.broadcast(windows)

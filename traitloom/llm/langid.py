@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_view
+from .common import bound_batches, chunks, doc_view
 
 PAD = 256
 UNDETERMINED = "und"
@@ -230,6 +230,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, *, id_col: str = "doc_id"
 
 def keep_identified(docs: DataFrame, model: ByteTagger | None, *, text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The documents whose language is determined with a score of at least `least`; columns as they were."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
