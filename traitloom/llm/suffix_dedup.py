@@ -236,7 +236,7 @@ def find(docs: DataFrame, *, text_col: str = "text", size: int = 400, words: int
 
 def repeats(every: DataFrame, size: int, words: int | None, group_contexts: int) -> DataFrame:
     """digest, spans of every text of `every` (digest, text) that loses anything."""
-    spark = every.sparkSession
+    spark, place = every.sparkSession, F.xxhash64("num", "first")
     view = every.where(F.octet_length("text") >= size)
     copies = view.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
     copied = written(copies.where("n > 1").select("digest", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop")).alias("span")))
@@ -246,14 +246,14 @@ def repeats(every: DataFrame, size: int, words: int | None, group_contexts: int)
     several = written(anchors.drop("digest").join(often, "anchor"))
     discard(spark, [anchors.written_to])
     # per context whether it stands in more than one place, and per anchor whether any does not
-    contexts = several.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("num").alias("lo"))
+    contexts = several.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("lo"))
     groups = contexts.groupBy("anchor").agg(F.max((F.col("n") == 1).cast("int")).alias("partial"), F.count("*").alias("m"))
     known = contexts.join(groups, "anchor").select("anchor", "context", "lo", (F.col("n") > 1).alias("full"), "partial", F.ceil(F.col("m") / group_contexts).cast("int").alias("parts"))
     flagged = written(several.join(known, ["anchor", "context"]))
     discard(spark, [several.written_to])
     full = flagged.where("full").select("num", F.col("first").cast("bigint").alias("start"), (F.col("last") + size).cast("bigint").alias("stop"))
-    # one text with each context is sorted
-    detail = flagged.where("partial = 1 AND (NOT full OR num = lo)").join(names, "num")
+    # one place of each context is sorted, however often it stands in one text
+    detail = flagged.where(F.col("partial") == 1).where(~F.col("full") | (place == F.col("lo"))).join(names, "num")
     part = F.pmod(F.xxhash64("digest", "first"), F.col("parts")).cast("int").alias("part")
     wanted = written(detail.groupBy("digest").agg(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "anchor", part, "parts")).alias("runs")))
     # copies of a text are one row of it before anything is brought together
