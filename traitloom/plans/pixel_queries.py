@@ -358,7 +358,7 @@ def srt_channel(spark, d):
 @query("avg_image_two_level", PX + " , s AS (SELECT p_type AS genus, p_brand AS species, y, x, avg(r) AS r FROM px JOIN part ON p_partkey = img_id GROUP BY ALL) SELECT genus, y, x, floor(round(avg(r), 9))::BIGINT AS r FROM s GROUP BY ALL")
 def avg_image_two_level(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("img_id"), F.col("p_brand").alias("species"), F.col("p_type").alias("genus"))
-    species = pixels(spark, d).join(part, "img_id").groupBy("genus", "species", "y", "x").agg(F.avg("r").alias("r"))
+    species = pixels(spark, d).hint("merge").join(part, "img_id").groupBy("genus", "species", "y", "x").agg(F.avg("r").alias("r"))
     return species.groupBy("genus", "y", "x").agg(F.floor(F.round(F.avg("r"), 9)).alias("r"))
 
 
